@@ -65,6 +65,6 @@ def parse_subject(col: Column) -> Column:
 
 def name_list(col: Column) -> Column:
     """``DNS:a, DNS:b`` as an array of names; entries of other kinds are left out."""
-    entries = F.transform(F.split(col, ","), F.trim)
+    entries = F.transform(F.split(col, ","), lambda e: F.trim(e))
     dns = F.filter(entries, lambda e: e.startswith("DNS:"))
     return F.transform(dns, lambda e: F.regexp_replace(e, "^DNS:", ""))
