@@ -42,25 +42,16 @@ def hex_text(number: Column) -> Column:
 
 
 def parse_subject(col: Column) -> Column:
-    """``/C=US/CN=x`` or ``C = US, CN = x`` as map<string,string>.
+    """``/C=US/CN=x`` or ``C = US, CN = x`` as map<string,string>; null when it is neither.
 
     A slash or comma only separates fields when ``name=`` follows it, so values may hold them.
-    Of a repeated field the first one is kept.
+    Of a repeated field the last one is kept. The fields are first put on lines of their own, so
+    that splitting them needs no regex.
     """
-    field = r"[A-Za-z][A-Za-z0-9.]*\s*="
-    body = F.regexp_replace(F.trim(col), "^/", "")
-    pairs = F.transform(
-        F.split(body, rf"/(?={field})|,\s*(?={field})"),
-        lambda pair: F.struct(
-            F.trim(F.substring_index(pair, "=", 1)).alias("key"),
-            F.trim(F.regexp_replace(pair, "^[^=]*=", "")).alias("value"),
-        ),
-    )
-    # A text without any field gives one entry without "="; it is no subject.
-    named = F.filter(pairs, lambda pair: pair["key"] != "")
-    names = F.transform(named, lambda pair: pair["key"])
-    first = F.filter(named, lambda pair, at: F.array_position(names, pair["key"]) == at + 1)
-    return F.when(F.trim(col).rlike(rf"^/?{field}"), F.map_from_entries(first))
+    lines = F.regexp_replace(col, r"(?:^\s*/?|\s*[/,])\s*([A-Za-z][A-Za-z0-9.]*)\s*=\s*", "\n$1=")
+    lasting = F.regexp_replace(lines, r"\n([^=\n]++)=[^\n]*+(?=\n(?:[^\n]*+\n)*?\1=)", "")
+    fields = F.str_to_map(F.rtrim(F.substring(lasting, 2, 1 << 30)), F.lit("\n"), F.lit("="))
+    return F.when(col.rlike(r"^\s*/?\s*[A-Za-z][A-Za-z0-9.]*\s*=") & ~col.contains("\n"), fields)
 
 
 def name_list(col: Column) -> Column:

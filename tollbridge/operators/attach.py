@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Session settings, with their defaults. A rule table is broadcast only below both limits.
 MAX_BYTES = ("spark.tollbridge.broadcast.maxBytes", 64 * 1024 * 1024)
@@ -17,14 +17,19 @@ def setting(df: DataFrame, entry: tuple[str, int]) -> int:
     return int(df.sparkSession.conf.get(key, str(default)))
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Measure rows and bytes of a static table in one aggregate and compare with the limits."""
+def size_up(df: DataFrame, *also: Column) -> tuple:
+    """Whether a static table is within the limits, and further aggregates from the same pass."""
     size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
-    rows, size_bytes = df.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
-    return rows <= setting(df, MAX_ROWS) and size_bytes <= setting(df, MAX_BYTES)
+    rows, size_bytes, *values = df.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0)), *also).first()
+    return rows <= setting(df, MAX_ROWS) and size_bytes <= setting(df, MAX_BYTES), *values
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Measure the rows and bytes of a static table in one aggregate and compare with the limits."""
+    return size_up(df)[0]
 
 
-def row_hash(df: DataFrame):
+def row_hash(df: DataFrame) -> Column:
     """A hash of the whole row: the same value whenever a task is run again."""
     plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     return F.xxhash64(*plain) if plain else F.lit(0).cast("bigint")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tollbridge.operators.attach import attach, fits_broadcast
 from tollbridge.operators.rows import explode_names
@@ -47,19 +49,20 @@ def check_policy(
     The authority is a mapping or a one-row DataFrame with a ``subject`` map; both it and the
     policy are a handful of values and become part of the expression.
     """
-    judged = _policy_fields(policy)
     wanted = _authority_fields(authority)
     subject = F.col(subject_col)
-
-    def broken(field: str, rule: str) -> Column:
-        value = F.nullif(F.try_element_at(subject, F.lit(field)), F.lit(""))
+    kept = {}
+    for field, rule in _policy_fields(policy).items():
+        value = F.try_element_at(subject, F.lit(field))
         if rule == "match":
-            return ~F.coalesce(value == F.lit(wanted.get(field)), F.lit(False))
-        return value.isNull()
-
-    checks = [F.when(broken(f, r), F.lit(f)) for f, r in judged.items() if r != "optional"]
-    reasons = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
-    return requests.withColumn("reasons", reasons).withColumn("accepted", F.size("reasons") == 0)
+            kept[field] = F.coalesce(value == F.lit(wanted.get(field) or None), F.lit(False))
+        elif rule == "supplied":
+            kept[field] = F.coalesce(value != "", F.lit(False))
+    reasons = [F.when(~ok, F.lit(field)) for field, ok in kept.items()]
+    return requests.withColumns({
+        "accepted": reduce(and_, kept.values(), F.lit(True)),
+        "reasons": F.array_compact(F.array(*reasons)) if reasons else F.array().cast("array<string>"),
+    })
 
 
 def _policy_fields(policy: Mapping[str, str] | DataFrame) -> dict[str, str]:

@@ -66,18 +66,19 @@ def explode_json_groups(df: DataFrame, col: str, group: str = "group", member: s
     text = F.col(col)
     plain = F.when(text.rlike(r'^\s*\{\s*\\+"'), F.regexp_replace(text, r'\\+"', '"')).otherwise(text)
     others = [c for c in df.columns if c != col]
-    groups = df.select(
-        *others,
-        F.explode(F.from_json(plain, "map<string,array<string>>")).alias(group, "_members"),
-    )
-    return groups.select(*others, group, F.explode("_members").alias(member))
+    # Outer explodes keep Spark from adding a filter that would parse every text twice.
+    parsed = F.from_json(plain, "map<string,array<string>>")
+    groups = df.select(*others, F.explode_outer(parsed).alias(group, "_members"))
+    members = groups.select(*others, group, F.posexplode_outer("_members").alias("_at", member))
+    return members.filter("_at is not null").drop("_at")
 
 
 def explode_names(df: DataFrame, names_col: str = "names_text", serial_col: str = "serial") -> DataFrame:
     """One row per DNS name of a certificate; the names come as text or as an array."""
     is_text = df.schema[names_col].dataType.simpleString() == "string"
     names = name_list(F.col(names_col)) if is_text else F.col(names_col)
-    return df.select(F.col(serial_col).alias("serial"), F.explode(names).alias("name"))
+    exploded = df.select(F.col(serial_col).alias("serial"), F.explode_outer(names).alias("name"))
+    return exploded.filter("name is not null")
 
 
 def derive_expiry(df: DataFrame, start_col: str, days: int = VALID_DAYS, name: str = "not_after") -> DataFrame:

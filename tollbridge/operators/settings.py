@@ -6,16 +6,21 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tollbridge.operators.attach import attach
+from tollbridge.operators.attach import attach, size_up
 from tollbridge.operators.ordered import last_before
 from tollbridge.session import cut_lineage
 
-# The form of a reference and of a sum.
+# The form of a reference, of a sum (what is added is its second group), and of a
+# text with its quotes or as the base of a sum.
 REFERENCE = r"\$\{([A-Za-z_][A-Za-z0-9_]*)\}"
-SUM = r"^\$\(\(\s*(\$\{[A-Za-z_][A-Za-z0-9_]*\}|-?\d+)\s*\+\s*(-?\d+)\s*\)\)$"
+SUM = r'^"?\$\(\(\s*(\$\{[A-Za-z_][A-Za-z0-9_]*\}|-?\d+)\s*\+\s*(-?\d+)\s*\)\)"?$'
+WRAPPED = r"""(?s)^(?:"?\$\(\(\s*(\$\{[A-Za-z_][A-Za-z0-9_]*\}|-?\d+)\s*\+\s*-?\d+\s*\)\)"?|"(.*)"|'(.*)')$"""
 
 LINE = ["env_id", "ord"]
 
+# While a line is worked out it has its parts as long as it is open, its value once it is not.
+PARTS = "array<struct<lit:string,ref:bigint>>"
+
 
 def overlay_layers(assignments: DataFrame) -> DataFrame:
     """The value of the last assignment (highest ``ord``) of each key of each environment."""
@@ -38,67 +43,75 @@ def resolve_refs(
     unless ``max_rounds`` is set, and reaching that is an error.
     """
     lines = _read_lines(assignments)
-    pieces = _pieces(lines)
+    pieces = cut_lineage(_pieces(lines), "refs")
     named = pieces.filter("name is not null")
     defs = assignments.select("env_id", F.col("key").alias("name"), "ord")
     meant = last_before(named, defs, ["env_id", "name"], "ord", "ref")
     meant = _with_externals(meant, externals)
     plain = pieces.filter("name is null").withColumn("ref", F.lit(None).cast("bigint"))
-    known = ["env_id", "ord", "plus", "pos", "lit", "ref"]
-    # One line's pieces are gathered, never those of several lines.
-    open_lines = (
-        meant.select(*known).unionByName(plain.select(*known))
-        .groupBy(*LINE)
-        .agg(F.max("plus").alias("plus"), F.array_sort(F.collect_list(F.struct("pos", "lit", "ref"))).alias("parts"))
-        .withColumn("parts", F.transform("parts", lambda p: F.struct(p["lit"].alias("lit"), p["ref"].alias("ref"))))
-        .select(*LINE, "parts", "plus")
+    known = [*LINE, "plus", "pos", "lit", "ref"]
+    taken = meant.select(*known).unionByName(plain.select(*known)).select(
+        *LINE, "plus", "pos", F.array(F.struct("lit", "ref")).alias("parts"), F.col("ref").isNotNull().alias("open")
     )
     targets = meant.filter("ref is not null").select("env_id", F.col("ref").alias("ord")).distinct()
-    settled = (
-        lines.filter("not open").join(targets, LINE, "left_semi")
-        .select(*LINE, F.array(_text_part(F.col("settled"))).alias("parts"), F.lit(None).cast("bigint").alias("plus"))
+    settled = lines.filter("not open").join(targets, LINE, "left_semi").select(
+        *LINE,
+        F.lit(None).cast(PARTS).alias("parts"),
+        F.lit(None).cast("bigint").alias("plus"),
+        _summed(F.coalesce("body", F.lit("")), F.col("plus")).alias("value"),
     )
-    state = cut_lineage(open_lines.unionByName(settled), "refs")
+    state = cut_lineage(_put_together(taken).unionByName(settled), "refs")
     rounds = 0
-    while not state.filter(_is_open(F.col("parts"))).isEmpty():
+    while True:
+        small, still_open = size_up(state, F.count_if(F.col("value").isNull()))
+        if not still_open:
+            break
         if max_rounds is not None and rounds == max_rounds:
             raise ValueError(f"references are still open after {max_rounds} rounds")
-        state = cut_lineage(_take_over(state), "refs")
+        state = cut_lineage(_take_over(state, small), "refs")
         rounds += 1
-    values = state.select(*LINE, _value(F.col("parts"), F.col("plus")).alias("_value"))
-    closed = attach(lines, values, LINE)
-    return closed.select(*assignments.columns, F.coalesce("_value", "settled").alias("value"))
+    worked_out = state.select(*LINE, F.col("value").alias("_value"))
+    plain_value = _summed(F.coalesce("body", F.lit("")), F.col("plus"))
+    return attach(lines, worked_out, LINE, small).select(
+        *assignments.columns, F.coalesce("_value", plain_value).alias("value")
+    )
 
 
 def _read_lines(assignments: DataFrame) -> DataFrame:
-    """Per line: its text without quotes, the added number of a sum, and whether it refers.
+    """Add to each line its text ``body`` without quotes, the added number ``plus`` of a sum, and
+    whether it is ``open``, that is, refers to another.
 
     A ``quote`` column tells how the text was quoted; without one the quotes are in the text.
-    Nothing is replaced in single quotes.
+    Nothing is replaced in single quotes. Each of the three reads the raw text on its own, so a
+    filter on one of them carries no other expression along.
     """
-    raw = F.coalesce("raw", F.lit(""))
+    raw = F.col("raw")
+    # Few lines are sums; a failing cast is dear, so the empty text becomes null before it.
+    plus = F.nullif(F.regexp_extract(raw, SUM, 2), F.lit("")).try_cast("bigint")
+    refers = F.coalesce(raw.rlike(REFERENCE), F.lit(False))
     if "quote" in assignments.columns:
-        bare, quoted = raw, F.coalesce(F.col("quote") == "'", F.lit(False))
-    else:
-        quoted = raw.rlike("(?s)^'.*'$")
-        bare = F.when(quoted | raw.rlike('(?s)^".*"$'), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    is_sum = ~quoted & bare.rlike(SUM)
-    read = assignments.withColumns({
-        "body": F.when(is_sum, F.regexp_extract(bare, SUM, 1)).otherwise(bare),
-        "plus": F.when(is_sum, F.regexp_extract(bare, SUM, 2).try_cast("bigint")),
-        "open": ~quoted & bare.rlike(REFERENCE),
+        literal = F.coalesce(F.col("quote") == "'", F.lit(False))
+        return assignments.withColumns({
+            "body": F.when(literal, raw).otherwise(F.regexp_replace(raw, SUM, "$1")),
+            "plus": F.when(~literal, plus),
+            "open": refers & ~literal,
+        })
+    literal = F.coalesce(raw.rlike("(?s)^'.*'$"), F.lit(False))
+    return assignments.withColumns({
+        "body": F.regexp_replace(raw, WRAPPED, "$1$2$3"), "plus": plus, "open": refers & ~literal
     })
-    return read.withColumn("settled", F.when(~F.col("open"), _summed(F.col("body"), F.col("plus"))))
 
 
 def _pieces(lines: DataFrame) -> DataFrame:
     """One row per literal text and the reference that follows it; ``name`` is null at the end."""
     texts = F.split("body", REFERENCE)
     names = F.regexp_extract_all("body", F.lit(REFERENCE), F.lit(1))
-    parts = F.transform(texts, lambda t, at: F.struct(t.alias("lit"), F.get(names, at).alias("name")))
-    parts = F.filter(parts, lambda p: (p["lit"] != "") | p["name"].isNotNull())
-    exploded = lines.filter("open").select(*LINE, "plus", F.posexplode(parts).alias("pos", "_part"))
-    return exploded.select(*LINE, "plus", "pos", "_part.lit", "_part.name")
+    split = lines.filter("open").select(*LINE, "plus", texts.alias("_texts"), names.alias("_names"))
+    return (
+        split.select(*LINE, "plus", "_names", F.posexplode_outer("_texts").alias("pos", "lit"))
+        .select(*LINE, "plus", "pos", "lit", F.get("_names", F.col("pos")).alias("name"))
+        .filter("lit <> '' or name is not null")
+    )
 
 
 def _with_externals(meant: DataFrame, externals: Mapping[str, str] | DataFrame | None) -> DataFrame:
@@ -113,59 +126,56 @@ def _with_externals(meant: DataFrame, externals: Mapping[str, str] | DataFrame |
     return found.withColumn("lit", F.when(F.col("ref").isNull(), outside).otherwise(F.col("lit"))).drop("_outside")
 
 
-def _take_over(state: DataFrame) -> DataFrame:
-    """One round: each open line takes over the present pieces of the lines it refers to."""
-    is_open = _is_open(F.col("parts"))
-    waiting = state.filter(is_open)
-    refs = F.array_compact(F.array_distinct(F.transform("parts", lambda p: p["ref"])))
-    uses = waiting.select(*LINE, F.explode(refs).alias("ref"))
-    defs = state.select("env_id", F.col("ord").alias("ref"), F.struct("parts", "plus").alias("meaning"))
-    meanings = (
-        attach(uses, defs, ["env_id", "ref"])
-        .groupBy(*LINE)
-        .agg(F.map_from_entries(F.collect_list(F.struct("ref", "meaning"))).alias("_meant"))
+def _put_together(taken: DataFrame) -> DataFrame:
+    """One row per line from its (pos, parts, open) rows; only one line's own are ever gathered."""
+    lines = taken.groupBy(*LINE).agg(
+        F.max("plus").alias("plus"),
+        F.max("open").alias("open"),
+        F.array_sort(F.collect_list(F.struct("pos", "parts"))).alias("taken"),
     )
-    met = waiting.join(meanings, LINE)
-    only = F.get("parts", F.lit(0))
-    # A sum over nothing but an open sum becomes one sum.
-    inner = F.element_at("_meant", only["ref"])
-    nested = (
-        F.col("plus").isNotNull() & (F.size("parts") == 1) & only["ref"].isNotNull()
-        & _is_open(inner["parts"]) & inner["plus"].isNotNull()
+    lines = lines.select(*LINE, "plus", "open", F.flatten(F.col("taken")["parts"]).alias("parts"))
+    return lines.select(
+        *LINE,
+        F.when(F.col("open"), F.col("parts")).alias("parts"),
+        F.when(F.col("open"), F.col("plus")).alias("plus"),
+        F.when(~F.col("open"), _summed(F.array_join(F.col("parts")["lit"], ""), F.col("plus"))).alias("value"),
     )
 
-    def replaced(p: Column) -> Column:
-        meaning = F.try_element_at(F.col("_meant"), p["ref"])
-        text = F.concat(p["lit"], _value(meaning["parts"], meaning["plus"]))
-        return (
-            F.when(p["ref"].isNull(), F.array(p))
-            .when(~_is_open(meaning["parts"]), F.array(_text_part(text)))
-            .when(meaning["plus"].isNull(), F.concat(F.array(_text_part(p["lit"])), meaning["parts"]))
-            .otherwise(F.array(p))
-        )
-
-    spliced = F.flatten(F.transform("parts", replaced))
-    spliced = F.filter(spliced, lambda p: (p["lit"] != "") | p["ref"].isNotNull())
-    moved = met.select(
+
+def _take_over(state: DataFrame, small: bool) -> DataFrame:
+    """One round: every reference of an open line is replaced by the value of the line meant, or
+    by that line's own parts while it is open."""
+    uses = state.filter("value is null").select(
+        *LINE, "plus", (F.size("parts") == 1).alias("_single"), F.posexplode_outer("parts").alias("pos", "_part")
+    ).select(*LINE, "plus", "_single", "pos", "_part.lit", "_part.ref")
+    defs = state.select(
+        "env_id", F.col("ord").alias("ref"), F.col("parts").alias("_parts"), F.col("plus").alias("_plus"),
+        F.col("value").alias("_value"),
+    )
+    met = attach(uses, defs, ["env_id", "ref"], small)
+    is_open = F.col("ref").isNotNull() & F.col("_value").isNull()
+    # A sum over nothing but an open sum becomes one sum; other lines wait for the sum's value.
+    nested = is_open & F.col("plus").isNotNull() & F.col("_single") & (F.col("lit") == "")
+    text = F.array(_text_part(F.concat("lit", F.coalesce("_value", F.lit("")))))
+    waits = is_open & F.col("_plus").isNotNull() & ~nested
+    parts = (
+        F.when(~is_open, text)
+        .when(waits, F.array(F.struct("lit", "ref")))
+        .when(F.col("lit") == "", F.col("_parts"))
+        .otherwise(F.concat(F.array(_text_part(F.col("lit"))), F.col("_parts")))
+    )
+    taken = met.select(
         *LINE,
-        F.when(nested, inner["parts"]).otherwise(spliced).alias("parts"),
-        F.when(nested, F.col("plus") + inner["plus"]).otherwise(F.col("plus")).alias("plus"),
+        F.when(nested & F.col("_plus").isNotNull(), F.col("plus") + F.col("_plus")).otherwise(F.col("plus")).alias("plus"),
+        "pos", parts.alias("parts"), is_open.alias("open"),
     )
-    return state.filter(~is_open).unionByName(moved)
+    return state.filter("value is not null").unionByName(_put_together(taken))
 
 
 def _text_part(text: Column) -> Column:
     return F.struct(text.alias("lit"), F.lit(None).cast("bigint").alias("ref"))
 
 
-def _is_open(parts: Column) -> Column:
-    return F.exists(parts, lambda p: p["ref"].isNotNull())
-
-
-def _value(parts: Column, plus: Column) -> Column:
-    return _summed(F.array_join(F.transform(parts, lambda p: p["lit"]), ""), plus)
-
-
 def _summed(text: Column, plus: Column) -> Column:
     total = F.coalesce(F.trim(text).try_cast("bigint"), F.lit(0)) + plus
     return F.when(plus.isNull(), text).otherwise(total.cast("string"))

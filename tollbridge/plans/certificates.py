@@ -10,6 +10,7 @@ from tollbridge.operators.certificates import MATCH_POLICY, check_policy
 from tollbridge.operators.ledgers import enforce_unique_subject
 from tollbridge.operators.ordered import assign_serials
 from tollbridge.operators.rows import VALID_DAYS, derive_expiry
+from tollbridge.session import cut_lineage
 
 
 def issue_certificates(
@@ -23,7 +24,9 @@ def issue_certificates(
     """New ledger rows for requests(arrival, not_before, subject): those the policy accepts whose
     subject is new, numbered by arrival from the stored counter, with their expiry.
     """
-    allowed = check_policy(requests, authority, policy).filter("accepted").drop("accepted", "reasons")
+    # Judged once and written: the subjects are read several times from here on.
+    judged = cut_lineage(check_policy(requests, authority, policy), "judged")
+    allowed = judged.filter("accepted").drop("accepted", "reasons")
     fresh, _ = enforce_unique_subject(allowed, ledger, "arrival")
     numbered = assign_serials(fresh, ["arrival"], start)
     return derive_expiry(numbered, "not_before", days).withColumn("status", F.lit("V"))

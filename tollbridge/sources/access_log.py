@@ -13,23 +13,21 @@ FIELDS = [
     "body_bytes_sent", "referer", "user_agent", "forwarded_for",
 ]
 LINE = (
-    r'^(\S+) - (\S+) \[([^\]]+)\] "([^"]*)" (\d{3}) (\d+|-) "([^"]*)" "([^"]*)"(?: "([^"]*)")?\s*$'
+    r'^(\S+) - (\S+) \[([^\]\n]+)\] "([^"\n]*)" (\d{3}) (\d+|-) "([^"\n]*)" "([^"\n]*)"'
+    r'(?: "([^"\n]*)")?[ \t\r]*$'
 )
 TIME_FORMAT = "dd/MMM/yyyy:HH:mm:ss Z"
 
-# Control characters are written escaped in such logs, so this one cannot be part of a field.
-_GAP = "\u0001"
-
-
 def parse_access_log(df: DataFrame, line_col: str = "value") -> DataFrame:
     """Replace a line column by its typed fields; lines of another shape get ``malformed=true``.
 
-    The regex runs once per line: it rewrites the line with separators, and the split text is
-    shared by all nine fields.
+    The regex runs once per line: it rewrites the line with a newline between the fields, which
+    no line can hold itself, and the split text is shared by all nine fields.
     """
     line = F.col(line_col)
-    parts = F.split(F.regexp_replace(line, LINE, _GAP.join(f"${n + 1}" for n in range(9))), _GAP)
-    shaped = df.withColumn("_parts", F.when(line.rlike(LINE), parts))
+    fields = F.split(F.regexp_replace(line, LINE, "\n".join(f"${n + 1}" for n in range(9))), "\n")
+    split = df.withColumn("_parts", F.when(~line.contains("\n"), fields))
+    shaped = split.withColumn("_parts", F.when(F.size("_parts") == 9, F.col("_parts")))
 
     def field(name: str) -> Column:
         text = F.get(F.col("_parts"), F.lit(FIELDS.index(name)))
