@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tollbridge.functions.text import address_number
-from tollbridge.operators.attach import attach, fits_broadcast
+from tollbridge.operators.attach import attach, size_up
 
 
 def cidr_lookup(df: DataFrame, ip_col: str, cidrs: DataFrame, default, name: str = "value") -> DataFrame:
@@ -19,8 +19,7 @@ def cidr_lookup(df: DataFrame, ip_col: str, cidrs: DataFrame, default, name: str
         .otherwise(32).alias("bits"),
         F.col("value").alias("range_value"),
     ).filter("base is not null and bits between 0 and 32")
-    lengths = [r[0] for r in ranges.select("bits").distinct().collect()]
-    small = True if fits_broadcast(ranges) else None
+    small, lengths = size_up(ranges, F.collect_set("bits"))
     found = df.withColumn("_address", address_number(F.col(ip_col)))
     hits = []
     for bits in sorted(lengths, reverse=True):
@@ -30,6 +29,6 @@ def cidr_lookup(df: DataFrame, ip_col: str, cidrs: DataFrame, default, name: str
             .groupBy(F.shiftright("base", 32 - bits).alias("_net"))
             .agg(F.max("range_value").alias(hit))
         )
-        found = attach(found.withColumn("_net", F.shiftright("_address", 32 - bits)), nets, ["_net"], small)
+        found = attach(found.withColumn("_net", F.shiftright("_address", 32 - bits)), nets, ["_net"], small or None)
         hits.append(F.col(hit))
     return found.select(*df.columns, F.coalesce(*hits, F.lit(default)).alias(name))

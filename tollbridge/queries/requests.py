@@ -10,6 +10,7 @@ from tollbridge.operators.responses import flag_oversize, redirect_requests
 from tollbridge.operators.routing import attach_upstream, route_requests
 from tollbridge.plans.traffic import choose_backend, serve_requests
 from tollbridge.queries.registry import query, table
+from tollbridge.session import cut_lineage
 from tollbridge.streaming.files import drain, stream_files
 
 URL = "^(https?)://([^/?#]+)([^#]*)"
@@ -50,10 +51,17 @@ def page_requests(pages: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def page_routes(requests: DataFrame) -> DataFrame:
-    """Routes of the www hosts, as found in the pages, and of the two patterns."""
+def page_hosts(pages: DataFrame) -> DataFrame:
+    """(port, host, first): the hosts of all pages with their first path, written out once so
+    that the rule tables made of them do not read the pages again."""
     path = F.regexp_extract("uri", r"^[^?#]*", 0)
-    named = requests.filter(F.col("host").startswith("www.")).groupBy("port", "host").agg(F.min(path).alias("first"))
+    hosts = page_requests(pages).groupBy("port", "host").agg(F.min(path).alias("first"))
+    return cut_lineage(hosts, "hosts")
+
+
+def page_routes(hosts: DataFrame) -> DataFrame:
+    """Routes of the www hosts, as found in the pages, and of the patterns."""
+    named = hosts.filter(F.col("host").startswith("www."))
     none = F.lit(None).cast("string")
     variants = F.array(*[
         F.struct(F.lit(m).alias("modifier"), p.alias("path"), t.alias("target"), u.alias("replacement_uri"))
@@ -68,17 +76,16 @@ def page_routes(requests: DataFrame) -> DataFrame:
         "port", "host", F.lit("exact").alias("host_kind"), "v.modifier", "v.path", "v.target",
         F.lit(False).alias("internal"), "v.replacement_uri", F.lit(0).alias("rule_ord"),
     )
-    return exact.unionByName(requests.sparkSession.createDataFrame(PATTERN_ROUTES, ROUTE_COLUMNS))
+    return exact.unionByName(hosts.sparkSession.createDataFrame(PATTERN_ROUTES, ROUTE_COLUMNS))
 
 
-def page_upstreams(requests: DataFrame) -> DataFrame:
-    hosts = requests.filter(F.col("host").startswith("www.")).select("host").distinct()
-    own = hosts.select(
+def page_upstreams(hosts: DataFrame) -> DataFrame:
+    own = hosts.filter(F.col("host").startswith("www.")).select("host").distinct().select(
         F.concat(F.lit("up-"), "host").alias("name"),
         F.concat(F.lit("192.0.2."), F.length("host")).alias("address"),
         (F.length("host") + 9000).alias("port"),
     )
-    return own.unionByName(requests.sparkSession.createDataFrame(UPSTREAMS, "name string, address string, port int"))
+    return own.unionByName(hosts.sparkSession.createDataFrame(UPSTREAMS, "name string, address string, port int"))
 
 
 REQUESTS_SQL = f"""
@@ -130,8 +137,8 @@ ROUTES_SQL = f"""
 
 @query(f"WITH {REQUESTS_SQL}, {ROUTES_SQL} SELECT page_id, target, routed_uri, action FROM routed")
 def request_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = page_requests(table(spark, sf_dir, "pages"))
-    routed = route_requests(requests, page_routes(requests))
+    pages = table(spark, sf_dir, "pages")
+    routed = route_requests(page_requests(pages), page_routes(page_hosts(pages)))
     return routed.select("page_id", "target", "routed_uri", "action")
 
 
@@ -144,9 +151,9 @@ def request_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def merged_slash_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every slash doubled: the same routes are found once repeated slashes are merged."""
-    requests = page_requests(table(spark, sf_dir, "pages"))
-    doubled = requests.withColumn("uri", F.replace("uri", F.lit("/"), F.lit("//")))
-    routed = route_requests(doubled, page_routes(requests), merge_slashes=True)
+    pages = table(spark, sf_dir, "pages")
+    doubled = page_requests(pages).withColumn("uri", F.replace("uri", F.lit("/"), F.lit("//")))
+    routed = route_requests(doubled, page_routes(page_hosts(pages)), merge_slashes=True)
     return routed.select("page_id", "target", "routed_uri", "action")
 
 
@@ -155,17 +162,17 @@ def merged_slash_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT page_id, target, address, upstream_port FROM routed LEFT JOIN upstreams USING (target)
 """)
 def backend_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = page_requests(table(spark, sf_dir, "pages"))
-    routed = route_requests(requests, page_routes(requests))
-    return attach_upstream(routed, page_upstreams(requests)).select("page_id", "target", "address", "upstream_port")
+    pages = table(spark, sf_dir, "pages")
+    hosts = page_hosts(pages)
+    routed = route_requests(page_requests(pages), page_routes(hosts))
+    return attach_upstream(routed, page_upstreams(hosts)).select("page_id", "target", "address", "upstream_port")
 
 
-def page_redirects(requests: DataFrame) -> DataFrame:
+def page_redirects(hosts: DataFrame) -> DataFrame:
     """http goes to https on www hosts, bare hosts to their www name, blogs of two domains to one,
     and flagged requests of www hosts elsewhere."""
     www = F.col("host").startswith("www.")
     bare = ~F.col("host").rlike(r"^(www|blog|m)\.")
-    hosts = requests.select("port", "host").distinct()
     named = hosts.filter((www & (F.col("port") == 80)) | bare).select(
         F.lit("exact").alias("kind"), "port", "host",
         F.when(www, F.lit("https://$host$request_uri"))
@@ -174,7 +181,7 @@ def page_redirects(requests: DataFrame) -> DataFrame:
     flagged = hosts.filter(www).select(
         F.lit("flag").alias("kind"), "port", "host", F.lit("https://status.example.org/?id=1").alias("template")
     )
-    blogs = requests.sparkSession.createDataFrame(
+    blogs = hosts.sparkSession.createDataFrame(
         [("regex", 80, BLOGS, "https://blog.$1.example.org$request_uri")], "kind string, port int, host string, template string"
     )
     return named.unionByName(flagged).unionByName(blogs)
@@ -205,8 +212,8 @@ REDIRECTS_SQL = f"""
     SELECT page_id, location, CASE WHEN flagged THEN 302 WHEN location IS NOT NULL THEN 301 END AS code FROM moved
 """)
 def redirect_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = flagged_pages(page_requests(table(spark, sf_dir, "pages")))
-    sent = redirect_requests(requests, page_redirects(requests), "flag")
+    pages = table(spark, sf_dir, "pages")
+    sent = redirect_requests(flagged_pages(page_requests(pages)), page_redirects(page_hosts(pages)), "flag")
     return sent.select("page_id", "location", "code")
 
 
@@ -232,10 +239,10 @@ PAGE_BACKENDS_SQL = f"""
 """
 
 
-def backends(requests: DataFrame, known: DataFrame) -> DataFrame:
-    """Route ``requests`` by the tables found in ``known`` requests, and tell what is logged."""
+def backends(requests: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Route ``requests`` by the rules of the ``hosts``, and tell what is logged."""
     chosen = choose_backend(
-        flagged_pages(requests), page_routes(known), page_upstreams(known), page_redirects(known), "flag"
+        flagged_pages(requests), page_routes(hosts), page_upstreams(hosts), page_redirects(hosts), "flag"
     )
     status = F.coalesce("code", page_status())
     return chosen.withColumn("loggable", loggable_flag(status)).select(
@@ -246,8 +253,8 @@ def backends(requests: DataFrame, known: DataFrame) -> DataFrame:
 @query(PAGE_BACKENDS_SQL)
 def page_backends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which backend serves each page request, and is it logged?"""
-    requests = page_requests(table(spark, sf_dir, "pages"))
-    return backends(requests, requests)
+    pages = table(spark, sf_dir, "pages")
+    return backends(page_requests(pages), page_hosts(pages))
 
 
 @query(PAGE_BACKENDS_SQL)
@@ -255,7 +262,7 @@ def page_backends_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same on a stream of the table's files: every step is stateless."""
     pages = table(spark, sf_dir, "pages")
     arriving = stream_files(spark, sf_dir, pages.schema, only="pages.parquet")
-    return drain(backends(page_requests(arriving), page_requests(pages)), "backends")
+    return drain(backends(page_requests(arriving), page_hosts(pages)), "backends")
 
 
 @query(f"""
@@ -270,16 +277,16 @@ def page_backends_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def served_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way of a request, with page texts as the backends' bodies."""
     pages = table(spark, sf_dir, "pages")
-    known = page_requests(pages)
+    hosts = page_hosts(pages)
     requests = flagged_pages(page_requests(pages, "html")).withColumnRenamed("html", "body").withColumns({
         "status": page_status(),
         "remote_addr": F.concat(F.lit("198.51.100."), F.col("page_id") % 256),
         "forwarded_for": F.when(F.col("page_id") % 2 == 0, "203.0.113.9").otherwise(""),
     })
-    bodies = known.filter(F.col("host").startswith("www.")).select("host").distinct().select(
+    bodies = hosts.filter(F.col("host").startswith("www.")).select("host").distinct().select(
         "host", F.lit(502).alias("status"), F.lit('{"code":502}').alias("body")
     )
-    served = serve_requests(requests, page_routes(known), page_upstreams(known), page_redirects(known), bodies, "flag")
+    served = serve_requests(requests, page_routes(hosts), page_upstreams(hosts), page_redirects(hosts), bodies, "flag")
     return served.select(
         "page_id", "status", "target", "address", "x_real_ip", "x_forwarded_for", "x_forwarded_proto", "x_host",
         "body", "loggable",
