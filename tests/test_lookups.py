@@ -32,6 +32,7 @@ def joins(request, setting):
     if request.param == "shuffled":
         setting("spark.tollbridge.broadcast.maxRows", 0)
         setting("spark.tollbridge.join.salts", 3)
+        setting("spark.tollbridge.join.hotRows", 1)
     return request.param
 
 
@@ -219,6 +220,7 @@ def test_a_hot_key_is_spread(spark, setting):
     from tollbridge.operators.attach import attach
 
     setting("spark.tollbridge.broadcast.maxRows", 0)
+    setting("spark.tollbridge.join.hotRows", 500)
     setting("spark.sql.adaptive.coalescePartitions.enabled", "false")
     left = spark.range(3000).withColumn("host", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")))
     right = left.select("host").distinct().withColumn("v", F.lit(1))
