@@ -27,12 +27,15 @@ FIXED_ROUTES = [
 ]
 
 
-@pytest.fixture(params=["broadcast", "shuffled"])
+@pytest.fixture(params=["broadcast", "shuffled", "salted"])
 def joins(request, setting):
-    if request.param == "shuffled":
+    if request.param != "broadcast":
         setting("spark.tollbridge.broadcast.maxRows", 0)
+        setting("spark.sql.autoBroadcastJoinThreshold", -1)
+        setting("spark.sql.shuffle.partitions", 3)
+    if request.param == "salted":
         setting("spark.tollbridge.join.salts", 3)
-        setting("spark.tollbridge.join.hotRows", 1)
+        setting("spark.sql.adaptive.skewJoin.enabled", "false")
     return request.param
 
 
@@ -215,16 +218,24 @@ def test_policy(spark):
         check_policy(requests, own, {"C": "same"})
 
 
-def test_a_hot_key_is_spread(spark, setting):
+@pytest.mark.parametrize("way", ["salted", "split"])
+def test_a_hot_key_is_spread(spark, setting, way):
     """A third of the rows share one host; without broadcast they go to several tasks."""
     from tollbridge.operators.attach import attach
 
     setting("spark.tollbridge.broadcast.maxRows", 0)
-    setting("spark.tollbridge.join.hotRows", 500)
+    setting("spark.sql.autoBroadcastJoinThreshold", -1)
     setting("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    left = spark.range(3000).withColumn("host", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")))
+    if way == "salted":
+        setting("spark.sql.adaptive.skewJoin.enabled", "false")
+    else:
+        setting("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "10k")
+        setting("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.1")
+        setting("spark.sql.adaptive.advisoryPartitionSizeInBytes", "10k")
+    numbers = spark.range(0, 30000, 1, 16).withColumn("noise", F.sha2(F.col("id").cast("string"), 256))
+    left = numbers.withColumn("host", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")))
     right = left.select("host").distinct().withColumn("v", F.lit(1))
     got = attach(left, right, ["host"])
-    assert got.count() == 3000 and got.filter("v is null").count() == 0
-    spread = got.filter("host = 'hot'").groupBy(F.spark_partition_id()).count().collect()
-    assert len(spread) > 3 and max(r["count"] for r in spread) < 700
+    assert got.count() == 30000 and got.filter("v is null").count() == 0
+    spread = got.filter("host = 'hot' or noise = ''").withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(spread) > 3 and max(r["count"] for r in spread) < 7000

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 # Session settings, with their defaults. A rule table is broadcast only below both limits.
 MAX_BYTES = ("spark.tollbridge.broadcast.maxBytes", 64 * 1024 * 1024)
 MAX_ROWS = ("spark.tollbridge.broadcast.maxRows", 1_000_000)
-# A key with more rows than this is spread over so many salts in a shuffled join.
-HOT_ROWS = ("spark.tollbridge.join.hotRows", 1_000_000)
+# Salts per key where Spark does not split hot keys by itself.
 SALTS = ("spark.tollbridge.join.salts", 32)
 
 
@@ -41,38 +40,26 @@ def attach(left: DataFrame, right: DataFrame, on: Sequence[str], small: bool | N
     """Left join where ``right`` holds at most one row per key; every left row comes out once.
 
     A measured small side is broadcast, so the left side is not shuffled. Otherwise both sides
-    are shuffled, and the keys holding many left rows are salted: see :func:`_salted`.
+    are shuffled on the key, and the adaptive skew join splits the rows of a hot key over many
+    tasks by the sizes it has seen, copies of one row included. Streams and sessions without it
+    get a salt: left rows are dealt out over the salts and each right row is repeated once per
+    salt.
     """
     on = list(on)
     extra = [c for c in right.columns if c not in on]
     if fits_broadcast(right) if small is None else small:
         joined = left.join(F.broadcast(right), on, "left")
+    elif not left.isStreaming and _splits_hot_keys(left):
+        joined = left.join(right, on, "left")
     else:
-        spread, repeated = _salted(left, right, on)
-        joined = spread.join(repeated, [*on, "_salt"], "left")
+        salts = setting(left, SALTS)
+        dealt = left.withColumn("_salt", F.pmod(row_hash(left), F.lit(salts)).cast("int"))
+        repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = dealt.join(repeated, [*on, "_salt"], "left")
     return joined.select(*left.columns, *extra)
 
 
-def _salted(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a salt: a hot key's left rows are dealt out over all salts and its right
-    row is repeated once per salt, any other key keeps salt 0.
-
-    There are at most (left rows / hot rows) hot keys, so that list is broadcast. A stream cannot
-    be counted beforehand, there every key is salted. Whole-row copies get the same salt and are
-    left to the adaptive skew join.
-    """
-    salts = setting(left, SALTS)
-    dealt = F.pmod(row_hash(left), F.lit(salts)).cast("int")
-    each = F.sequence(F.lit(0), F.lit(salts - 1))
-    if left.isStreaming:
-        return left.withColumn("_salt", dealt), right.withColumn("_salt", F.explode(each))
-    hot = (
-        left.groupBy(*on).count().filter(F.col("count") > setting(left, HOT_ROWS))
-        .select(*on, F.lit(True).alias("_hot"))
-    )
-    is_hot = F.col("_hot").isNotNull()
-    spread = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(is_hot, dealt).otherwise(0))
-    repeated = right.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.explode(F.when(is_hot, each).otherwise(F.array(F.lit(0))))
-    )
-    return spread, repeated
+def _splits_hot_keys(df: DataFrame) -> bool:
+    conf = df.sparkSession.conf
+    wanted = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    return all(conf.get(key) == "true" for key in wanted)
