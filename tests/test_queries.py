@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
+from tollbridge.queries.registry import QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -30,7 +31,7 @@ def key(row):
     return tuple((v is not None, str(v)) for v in row)
 
 
-@pytest.mark.parametrize("name", sorted(spark_entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     df = spark_entry.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)
