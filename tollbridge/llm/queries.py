@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tollbridge.llm import bpe, licenses, lines, quality
+from tollbridge.llm import bpe, licenses, lines, quality, token_store
 from tollbridge.queries.registry import table
+from tollbridge.session import fresh_folder
 
 TOKENIZER = "byte_bpe_50k.json"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +66,11 @@ FROM marked GROUP BY doc_id
 @query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_folder(spark, "tokens")
+    tokenizer = bpe.read_file(public_tokenizers.path(TOKENIZER))
+    token_store.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer)
+    return token_store.read_tokens(spark, path)
