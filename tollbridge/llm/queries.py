@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tollbridge.llm import bpe, licenses, lines, quality, token_store
+from tollbridge.llm import bpe, licenses, lines, quality, simhash, token_store
 from tollbridge.queries.registry import table
 from tollbridge.session import fresh_folder
 
@@ -74,3 +74,8 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = bpe.read_file(public_tokenizers.path(TOKENIZER))
     token_store.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer)
     return token_store.read_tokens(spark, path)
+
+
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group_near(table(spark, sf_dir, "documents"))
