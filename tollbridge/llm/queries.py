@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tollbridge.llm import bpe, licenses, lines, quality, simhash, token_store
+from tollbridge.llm import bpe, decontaminate, licenses, lines, quality, simhash, token_store
 from tollbridge.queries.registry import table
 from tollbridge.session import fresh_folder
 
@@ -79,3 +79,8 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group_near(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
