@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tollbridge.llm import bpe, decontaminate, licenses, lines, quality, simhash, token_store
+from tollbridge.llm import bpe, decontaminate, licenses, lines, quality, secrets, simhash, token_store
 from tollbridge.queries.registry import table
 from tollbridge.session import fresh_folder
 
@@ -84,3 +84,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
+    return found.select(
+        "doc_id",
+        *[F.size(of(kind)).cast("bigint").alias(f"n_{kind}") for kind in secrets.BASE_KINDS],
+        F.sha2(secrets.spelled(base), 256).alias("base_sha256"),
+        secrets.spelled(F.col("spans")).alias("spans"),
+        F.size(of(secrets.MODEL_KIND)).cast("bigint").alias("n_random"),
+    )
