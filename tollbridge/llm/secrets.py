@@ -34,8 +34,8 @@ _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 #: Mean log-likelihood ratio per character pair from which a run is a secret.
 THRESHOLD = 1.5
-#: Added to each pair's count.
-PRIOR = 0.5
+#: Added to each pair's count. Random strings are rare in texts and even but for their alphabet, so theirs is larger.
+PRIORS = {True: 3.0, False: 0.5}
 
 _CODE = np.full(256, SIZE, np.int32)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(SIZE)
@@ -99,7 +99,7 @@ def fit(docs: DataFrame) -> np.ndarray:
 
     The table has a fixed size. Without samples both models are uniform and no run is a secret.
     """
-    tables = {flag: np.full((SIZE, SIZE), PRIOR) for flag in (True, False)}
+    tables = {flag: np.full((SIZE, SIZE), prior) for flag, prior in PRIORS.items()}
     for flag, pair, n in count_pairs(docs).collect():  # at most two rows per pair of characters
         a, b = divmod(pair, SIZE + 1)
         if a < SIZE and b < SIZE:
