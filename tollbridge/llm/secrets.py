@@ -33,9 +33,10 @@ MIN_RUN = 16
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 #: Mean log-likelihood ratio per character pair from which a run is a secret.
-THRESHOLD = 1.5
-#: Added to each pair's count. Random strings are rare in texts and even but for their alphabet, so theirs is larger.
-PRIORS = {True: 3.0, False: 0.5}
+THRESHOLD = 2.0
+#: Pseudo-counts of each character's row, spread as the classes of characters follow each other.
+PRIOR = 20.0
+_CLASS = np.array([0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 3 for c in ALPHABET])
 
 _CODE = np.full(256, SIZE, np.int32)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(SIZE)
@@ -94,18 +95,29 @@ def count_pairs(docs: DataFrame) -> DataFrame:
     return counted.groupBy("random", "pair").agg(F.sum("n").alias("n"))
 
 
+def _model(counts: np.ndarray) -> np.ndarray:
+    """The logarithms of the chances of each character after each, smoothed by those of its class."""
+    member = np.eye(4)[_CLASS]
+    classes = member.T @ counts @ member + 1.0
+    classes /= classes.sum(axis=1, keepdims=True)
+    smooth = counts + PRIOR * (member @ (classes / member.sum(axis=0)) @ member.T)
+    return np.log(smooth / smooth.sum(axis=1, keepdims=True))
+
+
 def fit(docs: DataFrame) -> np.ndarray:
     """The log-likelihood ratio of each character pair, random against ordinary, from all of ``docs`` (text).
 
-    The table has a fixed size. Without samples both models are uniform and no run is a secret.
+    The table has a fixed size. Without samples both models are alike and no run is a secret.
     """
-    tables = {flag: np.full((SIZE, SIZE), prior) for flag, prior in PRIORS.items()}
+    tables = {flag: np.zeros((SIZE, SIZE)) for flag in (True, False)}
     for flag, pair, n in count_pairs(docs).collect():  # at most two rows per pair of characters
         a, b = divmod(pair, SIZE + 1)
         if a < SIZE and b < SIZE:
-            tables[flag][a, b] += n
-    logs = {flag: np.log(t / t.sum(axis=1, keepdims=True)) for flag, t in tables.items()}
-    return logs[True] - logs[False]
+            tables[flag][a, b] = n
+    ratio = _model(tables[True]) - _model(tables[False])
+    symbols = _CLASS == 3  # they join words and parts of keys alike
+    ratio[symbols] = ratio[:, symbols] = 0.0
+    return ratio
 
 
 def model_spans(text: str, ratio: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, int, str]]:
