@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tollbridge.llm import bpe, decontaminate, licenses, lines, quality, secrets, simhash, token_store
+from tollbridge.llm import bpe, decontaminate, html_text, licenses, lines, quality, secrets, simhash, token_store
 from tollbridge.queries.registry import table
 from tollbridge.session import fresh_folder
 
@@ -98,3 +98,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.spelled(F.col("spans")).alias("spans"),
         F.size(of(secrets.MODEL_KIND)).cast("bigint").alias("n_random"),
     )
+
+
+@query
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
