@@ -239,3 +239,84 @@ def test_a_hot_key_is_spread(spark, setting, way):
     assert got.count() == 30000 and got.filter("v is null").count() == 0
     spread = got.filter("host = 'hot' or noise = ''").withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
     assert len(spread) > 3 and max(r["count"] for r in spread) < 7000
+
+
+def redirected(spark, rules, *asked):
+    rules = spark.createDataFrame(rules, "kind string, port int, host string, template string, rule_ord int")
+    requests = spark.createDataFrame([(80, h, u) for h, u in asked], "port int, host string, uri string")
+    return [r["location"] for r in redirect_requests(requests, rules).collect()]
+
+
+def test_unanchored_templates_give_the_template_alone(spark):
+    rules = [
+        ("regex", 80, r"\.example\.com$", "https://x.example.org$request_uri", 1),
+        ("regex", 80, r"^(\w+)\.shop", "https://$host/$1$request_uri", 2),
+    ]
+    assert redirected(spark, rules, ("blog.example.com", "/p?q=$1"), ("a.shop.net", "/\\z"), ("none", "/")) == [
+        "https://x.example.org/p?q=$1", "https://a.shop.net/a/\\z", None,
+    ]
+
+
+def test_unknown_variables_and_groups_are_refused(spark):
+    for template in ("$scheme://x", "https://$2.x"):
+        with pytest.raises(ValueError, match="unknown variable"):
+            redirected(spark, [("regex", 80, r"(\w+)[(]\.x", template, 1)], ("a", "/"))
+
+
+def test_the_smallest_rule_ord_of_a_pattern_counts(spark):
+    rules = [("regex", 80, "^a", f"https://{n}", n) for n in (3, 1, 2)]
+    assert redirected(spark, rules, ("abc", "/")) == redirected(spark, rules[::-1], ("abc", "/")) == ["https://1"]
+
+
+def test_many_patterns(spark):
+    rules = [("wildcard", 80, f"h{n}.*", f"https://{n}.org$request_uri", 0) for n in range(1_200)]
+    assert redirected(spark, rules, ("h7.net", "/x"), ("h1199.net", "/y"), ("h1200.net", "/")) == ["https://7.org/x", "https://1199.org/y", None]
+
+
+def routed(spark, routes, *asked):
+    routes = spark.createDataFrame(routes, ROUTES)
+    requests = spark.createDataFrame([(80, h, u) for h, u in asked], "port int, host string, uri string")
+    return {(r["host"], r["uri"]): r["target"] for r in route_requests(requests, routes).collect()}
+
+
+def route(host, kind, path, target, modifier="", rule_ord=0):
+    return (80, host, kind, modifier, path, target, False, None, rule_ord)
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+@pytest.mark.parametrize("listed", [64, 1])
+def test_routes_alike_in_every_branch(spark, setting, monkeypatch, rows, listed):
+    setting("spark.tollbridge.broadcast.maxRows", rows)
+    monkeypatch.setattr("tollbridge.operators.routing.LISTED_ROUTES", listed)
+    routes = [
+        route("a", "exact", "/", "root"), route("a", "exact", "/x", "x"), route("a", "exact", "/x/y", "xy"),
+        route("a", "exact", "/x", "same", "="), route("a", "exact", None, "none"), route(None, "exact", "/", "none"),
+        route("blog.*", "wildcard", "/", "wild"), route("blog.*", "regex", "/p", "regex", rule_ord=1),
+    ]
+    asked = [("a", "/"), ("a", "/x"), ("a", "/x?q"), ("a", "/x/yz"), ("a", "/xa"), ("blog.net", "/p"), ("blog.net", "/q"), ("none", "/"), ("a", None), (None, "/")]
+    got = routed(spark, routes, *asked, *asked)
+    assert got == dict(zip(asked, ["root", "same", "same", "xy", "x", "wild", "wild", None, None, None]))
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_lengths_cost_no_shuffles(spark, setting):
+    setting("spark.tollbridge.broadcast.maxRows", 0)
+    requests = spark.createDataFrame([(80, "a", "/x" * 30)], "port int, host string, uri string")
+    addresses = spark.createDataFrame([("10.1.2.3",)], "ip string")
+    few, many = [], []
+    for n, out in ((2, few), (20, many)):
+        routes = spark.createDataFrame([route("a", "exact", "/x" * k, str(k)) for k in range(1, n + 1)], ROUTES)
+        ranges = spark.createDataFrame([(f"10.0.0.0/{8 + k}", k) for k in range(n)], "cidr string, value int")
+        both = route_requests(requests, routes), cidr_lookup(addresses, "ip", ranges, -1)
+        out += map(exchanges, both)
+        assert both[0].first()["target"] == str(n)
+    assert few == many
+
+
+def test_no_limit(spark):
+    requests = spark.createDataFrame([("a", 5)], "host string, body_bytes bigint")
+    limits = spark.createDataFrame([("a", "0")], "host string, max_body string")
+    assert not flag_oversize(requests, limits, "1").first()["oversize"]

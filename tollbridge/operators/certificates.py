@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tollbridge.operators.attach import attach, fits_broadcast
 from tollbridge.operators.rows import explode_names
+from tollbridge.session import cut_lineage
 
 # How each subject field is judged, in the stricter and the looser policy.
 MATCH_POLICY = {
@@ -26,13 +27,14 @@ RULES = ("match", "supplied", "optional")
 def attach_certificate(routes: DataFrame, certs: DataFrame, uncovered: bool = False) -> DataFrame:
     """Add ``cert_serial`` to each host; of several certificates naming it, the latest serial.
 
-    ``uncovered=True`` gives the distinct hosts no certificate names.
+    ``uncovered=True`` gives the distinct hosts no certificate names. The names are written once,
+    so that the certificates are not read again to measure and to join them.
     """
     names = explode_names(certs, "names" if "names" in certs.columns else "names_text")
     by_name = names.groupBy(F.col("name").alias("host")).agg(F.max("serial").alias("cert_serial"))
     if not uncovered:
-        return attach(routes, by_name, ["host"])
-    known = by_name.select("host")
+        return attach(routes, by_name if routes.isStreaming else cut_lineage(by_name, "names"), ["host"])
+    known = cut_lineage(by_name.select("host"), "names")
     known = F.broadcast(known) if fits_broadcast(known) else known
     return routes.select("host").distinct().join(known, "host", "left_anti")
 
@@ -67,10 +69,8 @@ def check_policy(
 
 def _policy_fields(policy: Mapping[str, str] | DataFrame) -> dict[str, str]:
     if isinstance(policy, DataFrame):
-        rows = policy.select("field", "rule").take(1_001)
-        if len(rows) > 1_000:
-            raise ValueError("a policy lists subject fields; this one has more than 1000 rows")
-        policy = {r["field"]: r["rule"] for r in rows}
+        # one row per subject field: a repeated field is judged once, by the last rule in order
+        policy = {r["field"]: r["rule"] for r in policy.groupBy("field").agg(F.max("rule").alias("rule")).orderBy("field").collect()}
     unknown = set(policy.values()) - set(RULES)
     if unknown:
         raise ValueError(f"unknown policy rules: {sorted(unknown)}")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
-# A regex cannot be looked up by equality, so patterns become part of the expression. Longer
-# lists than this are refused rather than cut short.
-MAX_PATTERNS = 1_000
+# A regex cannot be looked up by equality, so patterns become part of the expression: few as a
+# case each, more as one list that is gone through.
+CASES = 100
 
 # Host kinds in order of precedence after the exact names.
 PATTERN_KINDS = ("wildcard", "regex")
@@ -19,27 +20,40 @@ PATTERN_KINDS = ("wildcard", "regex")
 class HostPattern:
     port: int
     host: str
+    kind: str
     regex: str
     row: Row
 
+    @property
+    def key(self) -> str:
+        """Names the pattern: a wildcard and a regex may have the same text."""
+        return f"{self.kind}:{self.host}"
+
+
+def pattern_key(kind: Column, host: Column) -> Column:
+    return F.concat(kind, F.lit(":"), host)
+
 
 def host_patterns(rules: DataFrame, kind_col: str, extra: list[str] | None = None) -> list[HostPattern]:
-    """Wildcards first, the longest before shorter ones, then regexes by ``rule_ord``."""
+    """Wildcards first, the longest before shorter ones, then regexes by ``rule_ord``.
+
+    Of several rules for one pattern the one with the smallest ``rule_ord`` counts, then the
+    smallest values. The patterns are part of a configuration and are held by the driver.
+    """
     order = F.col("rule_ord") if "rule_ord" in rules.columns else F.lit(0)
+    first = F.min(F.struct(order.alias("rule_ord"), *(extra or []))).alias("first")
     listed = (
-        rules.filter(F.col(kind_col).isin(*PATTERN_KINDS))
-        .select("port", "host", F.col(kind_col).alias("kind"), order.alias("rule_ord"), *(extra or []))
-        .dropDuplicates(["port", "host", "kind"])
-        .take(MAX_PATTERNS + 1)
+        rules.filter(F.col(kind_col).isin(*PATTERN_KINDS) & F.col("host").isNotNull())
+        .groupBy("port", "host", F.col(kind_col).alias("kind")).agg(first)
+        .select("port", "host", "kind", "first.*")
+        .collect()
     )
-    if len(listed) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} wildcard or regex hosts")
 
     def rank(row: Row):
         wildcard = row["kind"] == "wildcard"
         return (not wildcard, -len(row["host"]) if wildcard else row["rule_ord"], row["host"], row["port"])
 
-    return [HostPattern(r["port"], r["host"], as_regex(r["kind"], r["host"]), r) for r in sorted(listed, key=rank)]
+    return [HostPattern(r["port"], r["host"], r["kind"], as_regex(r["kind"], r["host"]), r) for r in sorted(listed, key=rank)]
 
 
 def as_regex(kind: str, host: str) -> str:
@@ -48,10 +62,28 @@ def as_regex(kind: str, host: str) -> str:
     return "^" + "[^/]+".join(re.escape(piece) for piece in host.split("*")) + "$"
 
 
-def first_pattern(patterns: list[HostPattern], value) -> Column:
-    """``value(pattern)`` of the first pattern matching the port and host columns, else null."""
+def first_pattern(patterns: list[HostPattern], value=None) -> Column:
+    """``value(pattern)`` of the first pattern matching the port and host columns, else null; the
+    pattern's key if no ``value`` is given."""
+    if value is None and len(patterns) > CASES:
+        return _first_of_list(patterns)
     result = None
     for p in patterns:
         hit = (F.col("port") == F.lit(p.port)) & F.col("host").rlike(p.regex)
-        result = F.when(hit, value(p)) if result is None else result.when(hit, value(p))
+        found = F.lit(p.key) if value is None else value(p)
+        result = F.when(hit, found) if result is None else result.when(hit, found)
     return F.lit(None).cast("string") if result is None else result
+
+
+def _first_of_list(patterns: list[HostPattern]) -> Column:
+    """The patterns of each port as one constant list, gone through up to the port's own."""
+    by_port: dict[int, list[dict]] = {}
+    for p in patterns:
+        by_port.setdefault(p.port, []).append({"key": p.key, "regex": p.regex})
+    result = None
+    for port, own in by_port.items():
+        constant = F.from_json(F.lit(json.dumps(own)), "array<struct<key:string,regex:string>>")
+        hits = F.filter(constant, lambda p: F.rlike(F.col("host"), p["regex"]))
+        found = F.get(hits, F.lit(0))["key"]
+        result = F.when(F.col("port") == port, found) if result is None else result.when(F.col("port") == port, found)
+    return result

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tollbridge.functions.text import address_number
 from tollbridge.operators.attach import attach, size_up
@@ -11,7 +11,9 @@ from tollbridge.operators.attach import attach, size_up
 def cidr_lookup(df: DataFrame, ip_col: str, cidrs: DataFrame, default, name: str = "value") -> DataFrame:
     """Add the value of the longest matching range of ``cidrs(cidr, value)``, else ``default``.
 
-    One equi-join per prefix length in use (33 at most) on the leading bits of the address.
+    A small table takes one broadcast equi-join per prefix length in use (33 at most) on the leading
+    bits of the address. A larger one takes the distinct addresses, cut to the lengths in use, one
+    join, and one back to the rows, whatever the number of lengths; streams go on with the former.
     """
     ranges = cidrs.select(
         address_number(F.substring_index("cidr", "/", 1)).alias("base"),
@@ -21,14 +23,23 @@ def cidr_lookup(df: DataFrame, ip_col: str, cidrs: DataFrame, default, name: str
     ).filter("base is not null and bits between 0 and 32")
     small, lengths = size_up(ranges, F.collect_set("bits"))
     found = df.withColumn("_address", address_number(F.col(ip_col)))
+    nets = ranges.groupBy("bits", _net(F.col("base"), F.col("bits")).alias("_net")).agg(F.max("range_value").alias("_hit"))
+    if not small and not df.isStreaming:
+        asked = found.filter("_address is not null").select("_address").distinct()
+        probes = asked.select("_address", F.explode(F.array(*[F.lit(b) for b in lengths])).alias("bits"))
+        met = probes.withColumn("_net", _net(F.col("_address"), F.col("bits"))).join(nets, ["bits", "_net"])
+        best = met.groupBy("_address").agg(F.max_by("_hit", "bits").alias("_best"))
+        found = attach(found, best, ["_address"])
+        return found.select(*df.columns, F.coalesce("_best", F.lit(default)).alias(name))
     hits = []
     for bits in sorted(lengths, reverse=True):
         hit = f"_hit_{bits}"
-        nets = (
-            ranges.filter(F.col("bits") == bits)
-            .groupBy(F.shiftright("base", 32 - bits).alias("_net"))
-            .agg(F.max("range_value").alias(hit))
-        )
-        found = attach(found.withColumn("_net", F.shiftright("_address", 32 - bits)), nets, ["_net"], small or None)
+        own = nets.filter(F.col("bits") == bits).select("_net", F.col("_hit").alias(hit))
+        found = attach(found.withColumn("_net", _net(F.col("_address"), F.lit(bits))), own, ["_net"], small or None)
         hits.append(F.col(hit))
     return found.select(*df.columns, F.coalesce(*hits, F.lit(default)).alias(name))
+
+
+def _net(address: Column, bits: Column) -> Column:
+    """The leading bits of an address."""
+    return F.floor(address / F.pow(F.lit(2.0), 32 - bits)).cast("bigint")

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tollbridge.functions.rules import truthy
 from tollbridge.functions.text import size_bytes
 from tollbridge.operators.attach import attach
-from tollbridge.operators.hosts import HostPattern, first_pattern, host_patterns
+from tollbridge.operators.hosts import CASES, HostPattern, first_pattern, host_patterns
 
 # A moved host answers 301; a flagged request is sent elsewhere for now, 302.
 MOVED = 301
 ELSEWHERE = 302
 
+# A template is text and variables; a dollar sign that begins no name is text.
+TEMPLATE = re.compile(r"((?:[^$]|\$(?![A-Za-z0-9_]))+)|\$(\d|[A-Za-z_][A-Za-z0-9_]*)")
+
 
 def redirect_requests(requests: DataFrame, rules: DataFrame, flag_col: str | None = None) -> DataFrame:
     """Add ``location`` and ``code`` to requests(port, host, uri); null where no rule applies.
 
     ``rules(kind, port, host, template)`` with kind ``exact``, ``wildcard``, ``regex`` or
-    ``flag``. A template may hold ``$host``, ``$request_uri`` and, for a regex, ``$1`` to ``$9``.
+    ``flag``. A template may hold ``$host``, ``$request_uri`` and, for a regex, ``$1`` to ``$9``;
+    in a pattern's template another variable is an error. The location is the template alone,
+    whatever part of the host the pattern covers; a query is in it only by ``$request_uri``.
     A ``flag`` rule belongs to an exact host, applies when ``flag_col`` is set and goes first.
     """
     have = rules.columns
@@ -39,8 +46,7 @@ def redirect_requests(requests: DataFrame, rules: DataFrame, flag_col: str | Non
         elsewhere = F.when(truthy(requests, flag_col), _filled(F.col("_flagged")))
     moved = _filled(F.col("_moved"))
     named = F.col("_moved").isNotNull() | F.col("_flagged").isNotNull()
-    patterned = first_pattern(host_patterns(rules, "kind", ["template"]), _captured)
-    moved = F.when(named, moved).otherwise(patterned)
+    moved = F.when(named, moved).otherwise(_by_pattern(host_patterns(rules, "kind", ["template"])))
     placed = found.withColumns({"_elsewhere": elsewhere, "_location": moved})
     return placed.select(
         *requests.columns,
@@ -54,12 +60,44 @@ def _filled(template: Column) -> Column:
     return F.replace(F.replace(template, F.lit("$host"), F.col("host")), F.lit("$request_uri"), F.col("uri"))
 
 
+def _by_pattern(patterns: list[HostPattern]) -> Column:
+    """The location by the first pattern of the host; each pattern's template is filled on its own."""
+    if len(patterns) <= CASES:
+        return first_pattern(patterns, _captured)
+    key = first_pattern(patterns)
+    blocks = [patterns[k : k + CASES] for k in range(0, len(patterns), CASES)]
+    return F.coalesce(*[first_key(block, key) for block in blocks])
+
+
+def first_key(patterns: list[HostPattern], key: Column) -> Column:
+    result = None
+    for p in patterns:
+        hit = (key == p.key) & (F.col("port") == p.port)
+        result = F.when(hit, _captured(p)) if result is None else result.when(hit, _captured(p))
+    return result
+
+
 def _captured(pattern: HostPattern) -> Column:
-    """Fill the captured labels of the host; the request URI is put in as plain text."""
+    """The template with its variables filled; one that is not known is refused."""
     pieces = []
-    for piece in pattern.row["template"].replace("$host", "$0").split("$request_uri"):
-        pieces += [F.regexp_replace("host", pattern.regex, piece), F.col("uri")]
-    return F.concat(*pieces[:-1])
+    for text, variable in TEMPLATE.findall(pattern.row["template"] or ""):
+        if text:
+            pieces.append(F.lit(text))
+        elif variable == "host":
+            pieces.append(F.col("host"))
+        elif variable == "request_uri":
+            pieces.append(F.col("uri"))
+        elif variable.isdigit() and int(variable) <= _groups(pattern.regex):
+            pieces.append(F.regexp_extract("host", pattern.regex, int(variable)))
+        else:
+            raise ValueError(f"unknown variable ${variable} in {pattern.row['template']!r}")
+    return F.concat(*pieces) if pieces else F.lit(pattern.row["template"])
+
+
+def _groups(regex: str) -> int:
+    """Capturing groups: parentheses that are neither escaped, nor in a class, nor special."""
+    plain = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]", "", regex)
+    return len(re.findall(r"\((?!\?)|\(\?P?<(?![=!])", plain))
 
 
 def flag_oversize(
@@ -69,11 +107,14 @@ def flag_oversize(
     host_col: str = "host",
     size_col: str = "body_bytes",
 ) -> DataFrame:
-    """Add ``max_body_bytes`` (the host's own, else the global one) and ``oversize``."""
+    """Add ``max_body_bytes`` (the host's own, else the global one) and ``oversize``.
+
+    A limit of 0 is no limit.
+    """
     own = limits.groupBy(F.col("host").alias(host_col)).agg(F.min(size_bytes(F.col("max_body"))).alias("_own"))
     found = attach(requests, own, [host_col])
     limit = F.coalesce("_own", size_bytes(F.lit(global_limit)))
-    return found.withColumns({"max_body_bytes": limit, "oversize": F.col(size_col) > limit}).drop("_own")
+    return found.withColumns({"max_body_bytes": limit, "oversize": (limit > 0) & (F.col(size_col) > limit)}).drop("_own")
 
 
 def substitute_by_status(

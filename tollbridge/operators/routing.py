@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tollbridge.operators.attach import attach, fits_broadcast
-from tollbridge.operators.hosts import first_pattern, host_patterns
+from tollbridge.operators.attach import MAX_BYTES, MAX_ROWS, attach, setting
+from tollbridge.operators.hosts import first_pattern, host_patterns, pattern_key
 
-PORT_HOST = ["port", "host"]
+# A host with more routes is looked up by the lengths of its paths instead of through its list.
+LISTED_ROUTES = 64
+
+SERVER = ["port", "_server"]
 
 
 def route_requests(requests: DataFrame, routes: DataFrame, merge_slashes: bool = False) -> DataFrame:
@@ -16,21 +19,26 @@ def route_requests(requests: DataFrame, routes: DataFrame, merge_slashes: bool =
     Host: exact name, then wildcard, then regex in order of ``rule_ord``. Path: an exact (``=``)
     location, else the longest location the path starts with. The query part is not compared and
     stays when a route has its own ``replacement_uri``. Every request comes out once; ``action``
-    is ``proxy``, ``deny`` for an internal location, or ``none``.
+    is ``proxy``, ``deny`` for an internal location, or ``none``. Routes without a path are ignored.
     """
     rules = _plain_routes(routes)
-    patterns = host_patterns(rules, "host_kind")
     path = F.split(F.col("uri"), r"[?#]", 2)[0]
     if merge_slashes:
         path = F.regexp_replace(path, "/{2,}", "/")
-    work = requests.withColumns({
-        "_path": path,
-        "_pattern": first_pattern(patterns, lambda p: F.lit(p.host)),
-    })
-    if fits_broadcast(rules):
-        hit = _by_route_lists(work, rules, bool(patterns))
+    work = requests.withColumn("_path", path)
+    servers = _servers(rules)
+    rows, size, longest, lengths = servers.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0)), F.max("n"),
+        F.array_distinct(F.flatten(F.collect_set("lengths"))),
+    ).first()
+    small = rows <= setting(rules, MAX_ROWS) and size <= setting(rules, MAX_BYTES)
+    work = _with_server(work, rules, small)
+    if small and (longest or 0) <= LISTED_ROUTES:
+        hit = _by_route_lists(work, rules)
+    elif small or work.isStreaming:
+        hit = _by_path_lengths(work, rules, sorted(lengths, reverse=True), small)
     else:
-        hit = _by_path_lengths(work, rules)
+        hit = _by_probes(work, rules, servers)
     query = F.regexp_extract("uri", r"^[^?#]*(\?[^#]*)?", 1)
     route = F.col("_hit")
     return hit.select(
@@ -45,11 +53,14 @@ def route_requests(requests: DataFrame, routes: DataFrame, merge_slashes: bool =
 
 
 def _plain_routes(routes: DataFrame) -> DataFrame:
+    """The routes with a path; ``_server`` is the host, or the key of its pattern."""
     have = routes.columns
-    return routes.select(
+    kind = F.coalesce("host_kind", F.lit("exact"))
+    plain = routes.filter("path is not null and host is not null").select(
         "port",
         "host",
-        F.coalesce("host_kind", F.lit("exact")).alias("host_kind"),
+        kind.alias("host_kind"),
+        pattern_key(kind, F.col("host")).alias("_server"),
         "path",
         (F.coalesce("modifier", F.lit("")) == "=").alias("exact"),
         F.struct(
@@ -59,66 +70,79 @@ def _plain_routes(routes: DataFrame) -> DataFrame:
         ).alias("route"),
         (F.col("rule_ord") if "rule_ord" in have else F.lit(0)).alias("rule_ord"),
     )
+    return plain
 
 
-def _by_route_lists(work: DataFrame, rules: DataFrame, any_pattern: bool) -> DataFrame:
-    """Small route tables: one ordered list per host, at most two broadcast joins."""
-    entry = F.struct(
-        (~F.col("exact")).alias("rank"),
-        (-F.length("path")).alias("shorter"),
-        "path",
-        "route",
+def _servers(rules: DataFrame) -> DataFrame:
+    """Each server's number of routes, their bytes, and the distinct lengths of its prefixes."""
+    text = F.coalesce(F.octet_length("path"), F.lit(0)) + F.coalesce(F.octet_length("host"), F.lit(0)) + F.coalesce(
+        F.octet_length("route.target"), F.lit(0)) + F.coalesce(F.octet_length("route.replacement_uri"), F.lit(0))
+    return rules.groupBy(*SERVER).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(text + 32).alias("bytes"),
+        F.collect_set(F.when(~F.col("exact"), F.length("path"))).alias("lengths"),
     )
-    lists = rules.groupBy("port", "host", (F.col("host_kind") == "exact").alias("named")).agg(
-        F.array_sort(F.collect_list(entry)).alias("list")
-    )
-    named = lists.filter("named").select(*PORT_HOST, F.col("list").alias("_named"))
-    found = attach(work, named, PORT_HOST, small=True)
-    candidates = F.col("_named")
-    if any_pattern:
-        by_pattern = lists.filter("not named").select(
-            "port", F.col("host").alias("_pattern"), F.col("list").alias("_listed")
-        )
-        found = attach(found, by_pattern, ["port", "_pattern"], small=True)
-        candidates = F.coalesce("_named", "_listed")
+
+
+def _with_server(work: DataFrame, rules: DataFrame, small: bool) -> DataFrame:
+    """Add the server of a request: that of its host's own name, else of the first pattern. Patterns
+    are only tried where no server has the name."""
+    named = rules.filter("host_kind = 'exact'").select("port", "host", F.col("_server").alias("_named")).distinct()
+    found = attach(work, named, ["port", "host"], small or None)
+    patterns = host_patterns(rules, "host_kind")
+    return found.withColumn("_server", F.coalesce("_named", first_pattern(patterns))).drop("_named")
+
+
+def _by_route_lists(work: DataFrame, rules: DataFrame) -> DataFrame:
+    """Small route tables with few routes per server: one ordered list each, one broadcast join."""
+    entry = F.struct((~F.col("exact")).alias("rank"), (-F.length("path")).alias("shorter"), "path", "route")
+    lists = rules.groupBy(*SERVER).agg(F.array_sort(F.collect_list(entry)).alias("_list"))
+    found = attach(work, lists, SERVER, small=True)
 
     def fits(e: Column) -> Column:
         return F.when(e["rank"], F.startswith(F.col("_path"), e["path"])).otherwise(F.col("_path") == e["path"])
 
-    return found.withColumn("_hit", F.get(F.filter(candidates, fits), F.lit(0))["route"])
-
-
-def _by_path_lengths(work: DataFrame, rules: DataFrame) -> DataFrame:
-    """Large route tables: one equi-join for the host, one for exact locations and one per
-    distinct length of a prefix, longest first; no host's routes are ever gathered."""
-    named = rules.filter("host_kind = 'exact'").select(*PORT_HOST).distinct().withColumn("_known", F.lit(True))
-    found = attach(work, named, PORT_HOST)
-    # Named and pattern hosts share a text space, so the kind is part of the key.
-    found = found.withColumns({
-        "_is_named": F.coalesce("_known", F.lit(False)),
-        "_key": F.when(F.col("_known"), F.col("host")).otherwise(F.col("_pattern")),
-    })
-    keyed = (
-        rules.withColumn("_is_named", F.col("host_kind") == "exact")
-        .groupBy("port", F.col("host").alias("_key"), "_is_named", "exact", "path")
-        .agg(F.min("route").alias("_r"))
-    )
-    key = ["port", "_key", "_is_named", "_probe"]
-    exact = keyed.filter("exact").select(*key[:3], F.col("path").alias("_probe"), F.col("_r").alias("_hit"))
-    found = attach(found.withColumn("_probe", F.col("_path")), exact, key)
-    prefixes = keyed.filter("not exact")
-    # Distinct lengths are few: no more than the longest path has characters.
-    lengths = [r[0] for r in prefixes.select(F.length("path")).distinct().collect()]
-    for n in sorted(lengths, reverse=True):
-        piece = prefixes.filter(F.length("path") == n).select(
-            *key[:3], F.col("path").alias("_probe"), F.col("_r").alias("_next")
+    return found.withColumn("_hit", F.get(F.filter("_list", fits), F.lit(0))["route"])
+
+
+def _keyed(rules: DataFrame) -> DataFrame:
+    return rules.groupBy(*SERVER, "exact", "path").agg(F.min("route").alias("_r"))
+
+
+def _by_path_lengths(work: DataFrame, rules: DataFrame, lengths: list[int], small: bool) -> DataFrame:
+    """One equi-join for exact locations and one per length of a prefix, longest first: broadcast
+    joins for a small table with many routes per server, and the way of streams past that."""
+    keyed = _keyed(rules)
+    key = [*SERVER, "_probe"]
+    exact = keyed.filter("exact").select(*SERVER, F.col("path").alias("_probe"), F.col("_r").alias("_hit"))
+    found = attach(work.withColumn("_probe", F.col("_path")), exact, key, small or None)
+    for n in lengths:
+        piece = keyed.filter(~F.col("exact") & (F.length("path") == n)).select(
+            *SERVER, F.col("path").alias("_probe"), F.col("_r").alias("_next")
         )
         probe = F.when(F.length("_path") >= n, F.substring("_path", 1, n))
-        found = attach(found.withColumn("_probe", probe), piece, key)
+        found = attach(found.withColumn("_probe", probe), piece, key, small or None)
         found = found.withColumn("_hit", F.coalesce("_hit", "_next")).drop("_next")
     return found
 
 
+def _by_probes(work: DataFrame, rules: DataFrame, servers: DataFrame) -> DataFrame:
+    """Large route tables: every distinct path of a server is cut to the lengths its prefixes have,
+    the cuts are looked up by one join, and the best route goes back to the requests by another.
+    However many lengths there are, the number of shuffles stays the same."""
+    asked = work.filter("_server is not null and _path is not null").select(*SERVER, "_path").distinct()
+    met = asked.join(servers.select(*SERVER, "lengths"), SERVER)
+    cuts = F.transform(
+        F.filter("lengths", lambda n: n <= F.length("_path")),
+        lambda n: F.struct(F.lit(False).alias("exact"), F.substring(F.col("_path"), F.lit(1), n).alias("path")),
+    )
+    whole = F.array(F.struct(F.lit(True).alias("exact"), F.col("_path").alias("path")))
+    probes = met.select(*SERVER, "_path", F.inline(F.concat(whole, cuts)))
+    hits = probes.join(_keyed(rules), [*SERVER, "exact", "path"])
+    best = hits.groupBy(*SERVER, "_path").agg(F.max_by("_r", F.struct("exact", F.length("path"))).alias("_hit"))
+    return attach(work, best, [*SERVER, "_path"])
+
+
 def attach_upstream(df: DataFrame, upstreams: DataFrame, target_col: str = "target") -> DataFrame:
     """Add the ``address`` and ``upstream_port`` a symbolic target stands for, null if it has none."""
     known = upstreams.groupBy(F.col("name").alias(target_col)).agg(
