@@ -147,3 +147,30 @@ def test_a_split_file_keeps_its_line_order(spark, setting, tmp_path):
     assert read.rdd.getNumPartitions() >= 1
     assert [int(r["raw"]) for r in read.orderBy("ord").collect()] == [n for _ in range(3) for n in range(400)]
     assert read.select(F.countDistinct("ord")).first()[0] == 1200
+
+
+def test_layers_of_any_number(spark, tmp_path):
+    """Numbers past 19 and 31 bits, negative ones, and two files of one layer."""
+    numbers = [-5, 0, 524_287, 524_288, 1 << 31, 1 << 60]
+    for n in numbers:
+        (tmp_path / f"l{n}.sh").write_text(f"export K={n}\nexport L{n}=1\n")
+    (tmp_path / "same.sh").write_text("export K=last\n")
+    layers = [("e", n, str(tmp_path / f"l{n}.sh")) for n in numbers] + [("e", 1 << 60, str(tmp_path / "same.sh"))]
+    df = spark.createDataFrame(layers, "env_id string, layer_ord bigint, path string")
+    read = read_assignments(spark, df).filter("key = 'K'").orderBy("ord")
+    assert [r["raw"] for r in read.collect()] == [*map(str, numbers), "last"]
+    assert {r["key"]: r["value"] for r in load_settings(spark, df, {}).collect()}["K"] == "last"
+
+
+def test_repeated_lines_are_refused(spark):
+    lines = spark.createDataFrame([("e", 1, "A", "x"), ("e", 2, "B", "${A}1"), ("e", 2, "C", "${A}2")], SCHEMA)
+    with pytest.raises(ValueError, match="ord 2"):
+        resolve_refs(lines)
+
+
+def test_sums_wrap_at_64_bits(spark):
+    top = (1 << 63) - 1
+    lines = [("e", 1, "A", str(top)), ("e", 2, "B", "$((${A} + 1))"), ("e", 3, "C", "$((${B} + 5))"),
+             ("e", 4, "D", "$((${E} + 9223372036854775807))"), ("e", 5, "F", "$((${D} + 9223372036854775807))")]
+    got = {r["key"]: r["value"] for r in resolve_refs(spark.createDataFrame(lines, SCHEMA)).collect()}
+    assert got == {"A": str(top), "B": str(-top - 1), "C": str(-top + 4), "D": str(top), "F": "-2"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -39,10 +40,12 @@ def resolve_refs(
     Which line a reference means depends only on names and line numbers, so it is settled first,
     in one ordered scan. Then every line takes over the pieces of the lines it refers to, all at
     once; these may refer further back, so the reach doubles with each round and a chain of n
-    lines needs about log2(n) rounds. A base that is no integer counts as 0. There is no limit
-    unless ``max_rounds`` is set, and reaching that is an error.
+    lines needs about log2(n) rounds; where texts over sums and sums over texts take turns, a text
+    waits for the sum under it, and each turn takes a round. A base that is no integer counts as 0,
+    and sums wrap at 64 bits, as in the shell. A line is known by ``env_id`` and ``ord``: a repeated pair is an
+    error. There is no limit unless ``max_rounds`` is set, and reaching that is an error.
     """
-    lines = _read_lines(assignments)
+    lines = _read_lines(_unique_lines(assignments))
     pieces = cut_lineage(_pieces(lines), "refs")
     named = pieces.filter("name is not null")
     defs = assignments.select("env_id", F.col("key").alias("name"), "ord")
@@ -77,6 +80,13 @@ def resolve_refs(
     )
 
 
+def _unique_lines(assignments: DataFrame) -> DataFrame:
+    twice = assignments.groupBy(*LINE).count().filter("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"two lines of environment {twice['env_id']!r} have ord {twice['ord']}")
+    return assignments
+
+
 def _read_lines(assignments: DataFrame) -> DataFrame:
     """Add to each line its text ``body`` without quotes, the added number ``plus`` of a sum, and
     whether it is ``open``, that is, refers to another.
@@ -166,7 +176,7 @@ def _take_over(state: DataFrame, small: bool) -> DataFrame:
     )
     taken = met.select(
         *LINE,
-        F.when(nested & F.col("_plus").isNotNull(), F.col("plus") + F.col("_plus")).otherwise(F.col("plus")).alias("plus"),
+        F.when(nested & F.col("_plus").isNotNull(), _wrapped_sum(F.col("plus"), F.col("_plus"))).otherwise(F.col("plus")).alias("plus"),
         "pos", parts.alias("parts"), is_open.alias("open"),
     )
     return state.filter("value is not null").unionByName(_put_together(taken))
@@ -177,5 +187,12 @@ def _text_part(text: Column) -> Column:
 
 
 def _summed(text: Column, plus: Column) -> Column:
-    total = F.coalesce(F.trim(text).try_cast("bigint"), F.lit(0)) + plus
+    total = _wrapped_sum(F.coalesce(F.trim(text).try_cast("bigint"), F.lit(0).cast("bigint")), plus)
     return F.when(plus.isNull(), text).otherwise(total.cast("string"))
+
+
+def _wrapped_sum(a: Column, b: Column) -> Column:
+    """The sum as the shell makes it: past 64 bits it goes on from the other end."""
+    half, whole = F.lit(Decimal(1 << 63)), F.lit(Decimal(1 << 64))
+    wide = F.pmod(a.cast("decimal(20,0)") + b.cast("decimal(20,0)") + half, whole) - half
+    return F.coalesce(F.try_add(a, b), wide.cast("bigint"))

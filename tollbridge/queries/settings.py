@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tollbridge.operators.settings import overlay_layers, resolve_refs
 from tollbridge.plans.settings import load_settings
@@ -89,9 +89,11 @@ def settings_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = lines.repartitionByRange("event_type", "event_id").sortWithinPartitions("event_type", "event_id")
     ordered.select("event_type", "value").write.partitionBy("event_type").text(folder)
     files = spark.read.option("recursiveFileLookup", "true").text(folder).select(F.col("_metadata.file_path").alias("path")).distinct()
-    kinds = F.array(*[F.lit(t) for t in ("click", "error", "purchase", "signup", "view")])
-    kind = F.array_position(kinds, F.regexp_extract("path", "event_type=([a-z]+)", 1))
+    kind = F.dense_rank().over(Window.orderBy("_type"))
+    types = files.select(F.regexp_extract("path", "event_type=([^/]*)/", 1).alias("_type"), "path")
+    kinds = types.select("_type").distinct().select("_type", kind.alias("kind"))
     part = F.regexp_extract("path", r"part-(\d+)-", 1).cast("bigint")
     # Each writer task wrote one range, and its number tells the order of the ranges.
-    layers = files.select(F.lit("all").alias("env_id"), (kind * 100_000 + part).alias("layer_ord"), "path")
+    far = F.lit(1 << 40).cast("bigint")
+    layers = types.join(kinds, "_type").select(F.lit("all").alias("env_id"), (F.col("kind") * far + part).alias("layer_ord"), "path")
     return load_settings(spark, layers, {}, folder)

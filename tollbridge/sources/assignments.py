@@ -12,31 +12,45 @@ DOUBLE_QUOTED = r'^\s*"((?:[^"\\]|\\.)*)"\s*(?:#.*)?$'
 SINGLE_QUOTED = r"^\s*'([^']*)'\s*(?:#.*)?$"
 COMMENT_TAIL = r"(?:^|\s+)#.*$|\s+$"
 
-# A position in a file needs fewer bits than this, a layer number fits above it.
-LAYER_SHIFT = 44
-
-# Without a root the files are named one by one on the driver; more of them need a root.
-MAX_LISTED = 10_000
-
-
 def read_assignments(spark: SparkSession, layers: DataFrame, root: str | None = None) -> DataFrame:
     """assignments(env_id, ord, key, raw, quote) of the files in layers(env_id, layer_ord, path).
 
     A file may belong to several environments. ``root`` is a folder or glob holding the files;
-    without it the paths in ``layers`` are read. ``ord`` grows with the layer, then the line.
+    without it the folders of the paths in ``layers`` are read. ``ord`` grows with the layer, then
+    the file's path, then the line; it is unique in an environment, whatever the layer numbers.
     """
-    lines = read_setting_lines(spark, root if root is not None else _listed(layers))
-    wanted = layers.select("env_id", "layer_ord", _place("path").alias("_place"))
-    # Every environment may name the same file: whichever side is measured small is broadcast,
-    # otherwise the environments of a file are spread over many tasks.
+    roots = root if root is not None else _folders(layers)
+    lines = read_setting_lines(spark, roots)
+    wanted = _with_starts(layers, _sizes(spark, roots))
+    # Every environment may name the same file: a small list of files is broadcast, otherwise the
+    # environments of a file are spread over many tasks.
     if fits_broadcast(wanted):
         met = lines.join(F.broadcast(wanted), "_place")
-    elif fits_broadcast(lines):
-        met = wanted.join(F.broadcast(lines), "_place")
     else:
         met = _spread_join(lines, wanted)
-    order = F.shiftleft(F.col("layer_ord").cast("bigint"), LAYER_SHIFT) + F.col("position")
-    return met.select("env_id", order.alias("ord"), "key", "raw", "quote")
+    return met.select("env_id", (F.col("_first") + F.col("position")).alias("ord"), "key", "raw", "quote")
+
+
+def _sizes(spark: SparkSession, roots: str | list[str]) -> DataFrame:
+    """(_place, size) of each file; the contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
+    located = files.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("size"))
+    return located.select(_place("_path").alias("_place"), "size")
+
+
+def _with_starts(layers: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(env_id, _place, _first): what an environment's earlier layers hold at most, so that the
+    positions in this file, which are no greater than its bytes and one, follow theirs."""
+    named = layers.select("env_id", "layer_ord", "path", _place("path").alias("_place")).distinct()
+    placed = named.join(sizes, "_place")
+    earlier = Window.partitionBy("env_id").orderBy("layer_ord", "path").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum(F.col("size") + 2).over(earlier), F.lit(0))
+    return placed.select("env_id", "layer_ord", "_place", first.alias("_first"))
+
+
+def _folders(layers: DataFrame) -> list[str]:
+    """The folders of the files; other files in them fall away in the join."""
+    return [r[0] for r in layers.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1)).distinct().collect()]
 
 
 def read_setting_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -79,13 +93,6 @@ def _place(path_col: str):
     return F.when(path.rlike(scheme), F.try_url_decode(bare)).otherwise(path)
 
 
-def _listed(layers: DataFrame) -> list[str]:
-    paths = [r[0] for r in layers.select("path").distinct().take(MAX_LISTED + 1)]
-    if len(paths) > MAX_LISTED:
-        raise ValueError(f"more than {MAX_LISTED} files: give the root folder they are in")
-    return paths
-
-
 def _spread_join(lines: DataFrame, wanted: DataFrame, salts: int = 32) -> DataFrame:
     salt = F.pmod(F.xxhash64("env_id", "layer_ord"), F.lit(salts)).cast("int")
     repeated = lines.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
