@@ -18,9 +18,21 @@ def setting(df: DataFrame, entry: tuple[str, int]) -> int:
     return int(df.sparkSession.conf.get(key, str(default)))
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: text by its length, nested values as JSON, all others by eight bytes."""
+    size = F.lit(8 * len(df.columns))
+    for field in df.schema.fields:
+        kind = field.dataType.simpleString()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
+        elif kind.startswith(("array<", "map<", "struct<")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{field.name}`")))), F.lit(0))
+    return size
+
+
 def size_up(df: DataFrame, *also: Column) -> tuple:
     """Whether a static table is within the limits, and further aggregates from the same pass."""
-    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    size = F.sum(_row_bytes(df))
     rows, size_bytes, *values = df.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0)), *also).first()
     return rows <= setting(df, MAX_ROWS) and size_bytes <= setting(df, MAX_BYTES), *values
 

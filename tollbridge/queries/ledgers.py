@@ -71,19 +71,20 @@ def ledger_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def page_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One certificate per page, for hosts whose name has an even length, and a second name."""
+def page_certificates(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """One certificate per page and a second name: of every page, or so that hosts of odd length have none."""
     requests = page_requests(table(spark, sf_dir, "pages"))
     names = F.concat(F.lit("DNS:"), "host", F.lit(", DNS:alt."), "host", F.lit(", IP Address:192.0.2.1"))
-    return requests.filter(F.length("host") % 2 == 0).select(F.col("page_id").alias("serial"), names.alias("names_text"))
+    named = requests if every else requests.filter(F.length("host") % 2 == 0)
+    return named.select(F.col("page_id").alias("serial"), names.alias("names_text"))
 
 
 @query(f"""
     WITH {REQUESTS_SQL} SELECT page_id AS serial, unnest([host, 'alt.' || host]) AS name
-    FROM requests WHERE length(host) % 2 = 0
+    FROM requests
 """)
 def certificate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explode_names(page_certificates(spark, sf_dir))
+    return explode_names(page_certificates(spark, sf_dir, every=True))
 
 
 @query(f"""

@@ -202,15 +202,17 @@ CIDRS = [
 @query("""
     SELECT event_id, CASE
         WHEN event_type = 'signup' THEN 0 WHEN event_type = 'error' THEN 6
-        WHEN user_id = 100 THEN 4 WHEN user_id BETWEEN 64 AND 127 THEN 3 WHEN user_id < 256 THEN 2
-        WHEN user_id BETWEEN 1024 AND 1535 THEN 5 ELSE 1 END AS value
-    FROM events
+        WHEN v = 100 THEN 4 WHEN v BETWEEN 64 AND 127 THEN 3 WHEN v < 256 THEN 2
+        WHEN v BETWEEN 1024 AND 1535 THEN 5 ELSE 1 END AS value
+    FROM (SELECT *, (event_id * 7 + user_id) % 2048 AS v FROM events)
 """)
 def address_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses spread over all ranges, whatever the number of users."""
+    v = (F.col("event_id") * 7 + F.col("user_id")) % 2048
     address = (
         F.when(F.col("event_type") == "signup", F.lit("198.51.0.300"))
         .when(F.col("event_type") == "error", F.concat(F.lit("203.0.113."), F.col("user_id") % 256))
-        .otherwise(address_of_user())
+        .otherwise(F.concat(F.lit("198.51."), F.floor(v / 256), F.lit("."), v % 256))
     )
     requests = table(spark, sf_dir, "events").select("event_id", address.alias("ip"))
     ranges = spark.createDataFrame(CIDRS, "cidr string, value int")
