@@ -30,11 +30,20 @@ def _row_bytes(df: DataFrame) -> Column:
     return size
 
 
+def measure(df: DataFrame, *also: Column) -> tuple:
+    """The rows and bytes of a static table, and further aggregates from the same pass."""
+    rows, size_bytes, *values = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0)), *also).first()
+    return rows, size_bytes, *values
+
+
+def within_limits(df: DataFrame, rows: int, size_bytes: int) -> bool:
+    return rows <= setting(df, MAX_ROWS) and size_bytes <= setting(df, MAX_BYTES)
+
+
 def size_up(df: DataFrame, *also: Column) -> tuple:
     """Whether a static table is within the limits, and further aggregates from the same pass."""
-    size = F.sum(_row_bytes(df))
-    rows, size_bytes, *values = df.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0)), *also).first()
-    return rows <= setting(df, MAX_ROWS) and size_bytes <= setting(df, MAX_BYTES), *values
+    rows, size_bytes, *values = measure(df, *also)
+    return within_limits(df, rows, size_bytes), *values
 
 
 def fits_broadcast(df: DataFrame) -> bool:

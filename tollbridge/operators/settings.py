@@ -7,7 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tollbridge.operators.attach import attach, size_up
+from tollbridge.operators.attach import attach, measure, within_limits
 from tollbridge.operators.ordered import last_before
 from tollbridge.session import cut_lineage
 
@@ -63,16 +63,23 @@ def resolve_refs(
         F.lit(None).cast("bigint").alias("plus"),
         _summed(F.coalesce("body", F.lit("")), F.col("plus")).alias("value"),
     )
-    state = cut_lineage(_put_together(taken).unionByName(settled), "refs")
-    rounds = 0
+    written = cut_lineage(_put_together(taken).unionByName(settled), "refs")
+    done, rows, size_bytes, rounds = None, 0, 0, 0
     while True:
-        small, still_open = size_up(state, F.count_if(F.col("value").isNull()))
+        # Only lines that are still open are worked on and written again; settled ones stay where they are.
+        own_rows, own_bytes, still_open = measure(written, F.count_if(F.col("value").isNull()))
+        rows, size_bytes = rows + own_rows, size_bytes + own_bytes
+        small = within_limits(written, rows, size_bytes)
+        ready = written.filter("value is not null")
+        done = ready if done is None else done.unionByName(ready)
         if not still_open:
             break
         if max_rounds is not None and rounds == max_rounds:
             raise ValueError(f"references are still open after {max_rounds} rounds")
-        state = cut_lineage(_take_over(state, small), "refs")
+        still = written.filter("value is null")
+        written = cut_lineage(_take_over(still, done, small), "refs")
         rounds += 1
+    state = done
     worked_out = state.select(*LINE, F.col("value").alias("_value"))
     plain_value = _summed(F.coalesce("body", F.lit("")), F.col("plus"))
     return attach(lines, worked_out, LINE, small).select(
@@ -152,10 +159,11 @@ def _put_together(taken: DataFrame) -> DataFrame:
     )
 
 
-def _take_over(state: DataFrame, small: bool) -> DataFrame:
+def _take_over(still: DataFrame, done: DataFrame, small: bool) -> DataFrame:
     """One round: every reference of an open line is replaced by the value of the line meant, or
     by that line's own parts while it is open."""
-    uses = state.filter("value is null").select(
+    state = done.unionByName(still)
+    uses = still.select(
         *LINE, "plus", (F.size("parts") == 1).alias("_single"), F.posexplode_outer("parts").alias("pos", "_part")
     ).select(*LINE, "plus", "_single", "pos", "_part.lit", "_part.ref")
     defs = state.select(
@@ -179,7 +187,7 @@ def _take_over(state: DataFrame, small: bool) -> DataFrame:
         F.when(nested & F.col("_plus").isNotNull(), _wrapped_sum(F.col("plus"), F.col("_plus"))).otherwise(F.col("plus")).alias("plus"),
         "pos", parts.alias("parts"), is_open.alias("open"),
     )
-    return state.filter("value is not null").unionByName(_put_together(taken))
+    return _put_together(taken)
 
 
 def _text_part(text: Column) -> Column:

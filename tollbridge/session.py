@@ -31,8 +31,9 @@ def local_session(name: str = "tollbridge", cores: str | int = "*", **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only on a local master."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir``, else the one set for checkpoints; a temporary one
+    only on a local master."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     context = spark.sparkContext
@@ -44,8 +45,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
-    """A path of its own inside the shared folder; nothing is created yet."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path of its own inside this application's part of the shared folder; nothing is created yet."""
+    return f"{_own_part(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _own_part(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tollbridge-{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables: once no DataFrame that reads them is used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_part(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
