@@ -3,8 +3,8 @@
 Every rule is a ratio of a document, large in bad ones. Labelled documents say how often a cutoff
 would reject a good one: with k of n good holdout documents above the cutoff, the hypothesis "more
 than ``risk`` of the good ones are rejected" has the exact p-value P(Bin(n, risk) <= k). Within one
-stratum and rule the cutoffs are tested from the mildest to the strictest and the last one before the
-first failure is taken (fixed-sequence testing needs no correction along the sequence); the
+stratum and rule the cutoffs are tested from the mildest to the strictest, and those before the first
+failure are certified (fixed-sequence testing needs no correction along the sequence); the
 sequences of all strata and rules share ``error`` by Bonferroni's correction, and the rules of a
 stratum share ``risk``. So with probability 1 - ``error`` no stratum loses more than ``risk`` of its
 good documents to the rules. A stratum whose labels can't show that keeps all its documents.
@@ -31,6 +31,8 @@ RULES: dict[str, tuple[float, ...]] = {
     "shout_ratio": RATIO_STEPS,
     "word_length": (60.0, 40.0, 30.0, 20.0, 15.0, 12.0, 10.0, 9.0, 8.0, 7.0),
 }
+#: Part of all bad documents that a rule may let go for a milder cutoff than the strictest certified one.
+SPARED = 0.005
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -119,28 +121,36 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 def fit_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
     """One row per stratum with a cutoff for each rule, null where none is certified.
 
-    ``measured`` has doc_id, stratum and the struct ``of``. A document counts as good if all its
-    labels have quality 1; labels without doc_id or quality say nothing. Documents that the base rule
-    rejects are rejected anyway and aren't counted. Without labels there are no rows.
+    ``measured`` has doc_id, stratum and the struct ``of``. A document is good if all its labels have
+    quality 1 and bad if all have 0; labels without doc_id or quality say nothing. Documents that the
+    base rule rejects are rejected anyway and aren't counted. Of the certified cutoffs the mildest is
+    taken that lets go nearly no bad documents beyond the strictest. Without labels there are no rows.
     """
-    good = (
-        labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
-        .groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(
+        F.min("quality").alias("low"), F.max("quality").alias("high")
     )
-    rules = ratios(F.col("of"))
-    above = [
-        F.array(*[F.sum((value > cut).cast("bigint")) for cut in RULES[rule]]).alias(rule) for rule, value in rules.items()
-    ]
-    holdout = measured.where(~base_failed(F.col("of"))).select("doc_id", "stratum", "of").join(good, "doc_id", "left_semi")
-    seen = cut_lineage(holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *above), "quality-holdout")
+    known = known.where("low = high").select("doc_id", (F.col("low") == 1).alias("good"))
+    holdout = measured.where(~base_failed(F.col("of"))).select("doc_id", "stratum", "of").join(known, "doc_id")
+
+    def above(good: bool, ending: str) -> list[Column]:
+        own = F.col("good") if good else ~F.col("good")
+        return [
+            F.array(*[F.count_if(own & (value > cut)) for cut in RULES[rule]]).alias(rule + ending)
+            for rule, value in ratios(F.col("of")).items()
+        ]
+
+    seen = holdout.groupBy("stratum").agg(F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("n_bad"), *above(True, ""), *above(False, "_bad"))
+    seen = cut_lineage(seen, "quality-holdout")
     sequences = max(1, seen.count()) * len(RULES)
 
     def chosen(rule: str) -> Column:
         cuts = F.array(*[F.lit(c) for c in RULES[rule]])
         fails = F.transform(rule, lambda k: binomial_tail(F.col("n"), k, risk / len(RULES)) > error / sequences)
         first_failure = F.array_position(fails, True).cast("int")
-        taken = F.when(first_failure == 0, len(RULES[rule])).otherwise(first_failure - 1)
-        return F.when(taken > 0, F.element_at(cuts, taken)).alias(rule)
+        strictest = F.when(first_failure == 0, len(RULES[rule])).otherwise(first_failure - 1)
+        caught = F.slice(F.col(rule + "_bad"), 1, strictest)
+        enough = F.transform(caught, lambda k: k >= F.element_at(caught, -1) - SPARED * F.col("n_bad"))
+        return F.when(strictest > 0, F.get(cuts, F.array_position(enough, True).cast("int") - 1)).alias(rule)
 
     return seen.select("stratum", *map(chosen, RULES))
 
