@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tollbridge.functions.text import parse_subject
-from tollbridge.operators.certificates import ANYTHING_POLICY, attach_certificate, check_policy
-from tollbridge.operators.ledgers import diff_snapshots, enforce_unique_subject
-from tollbridge.operators.ordered import assign_serials
+from tollbridge.operators.certificates import ANYTHING_POLICY, MATCH_POLICY, attach_certificate, check_policy
+from tollbridge.operators.ledgers import diff_snapshots, mark_unique_subject
+from tollbridge.operators.ordered import assign_serials, next_serial
 from tollbridge.operators.rows import derive_expiry, explode_names
 from tollbridge.plans.certificates import issue_certificates
 from tollbridge.queries.registry import query, table, utc
@@ -120,6 +120,30 @@ AUTHORITY = {"C": "XX", "ST": "ASIA", "O": "Org"}
     SELECT s_suppkey, reasons, reasons = '' AS accepted, accepted_by_any FROM judged
 """)
 def policy_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = supplier_requests(spark, sf_dir)
+    loose = check_policy(requests, AUTHORITY, ANYTHING_POLICY)
+    loose = loose.select("s_suppkey", "subject", F.col("accepted").alias("accepted_by_any"))
+    strict = check_policy(loose, AUTHORITY)
+    return strict.select("s_suppkey", F.array_join("reasons", ",").alias("reasons"), "accepted", "accepted_by_any")
+
+
+@query("""
+    WITH judged AS (
+        SELECT s_suppkey, concat_ws(',', CASE WHEN s_acctbal < 0 THEN 'CN' END, CASE WHEN s_suppkey % 3 = 0 THEN 'O' END,
+               CASE WHEN r_name <> 'ASIA' THEN 'ST' END) AS reasons
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+    SELECT s_suppkey, reasons, reasons = '' AS accepted FROM judged
+""")
+def policy_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strict policy with authority and policy as tables; its fields are judged by name."""
+    authority = spark.createDataFrame([(AUTHORITY,)], "subject map<string,string>")
+    policy = spark.createDataFrame(list(MATCH_POLICY.items()), "field string, rule string")
+    strict = check_policy(supplier_requests(spark, sf_dir), authority, policy)
+    return strict.select("s_suppkey", F.array_join("reasons", ",").alias("reasons"), "accepted")
+
+
+def supplier_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier as a request whose subject names its region."""
     nations = table(spark, sf_dir, "nation").join(
         table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
@@ -130,11 +154,7 @@ def policy_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("s_suppkey") % 2 == 0, "/OU=Unit").otherwise(""),
         F.when(F.col("s_acctbal") >= 0, F.concat(F.lit("/CN=s"), "s_suppkey")).otherwise(""),
     )
-    requests = suppliers.select("s_suppkey", parse_subject(subject).alias("subject"))
-    loose = check_policy(requests, AUTHORITY, ANYTHING_POLICY)
-    loose = loose.select("s_suppkey", "subject", F.col("accepted").alias("accepted_by_any"))
-    strict = check_policy(loose, AUTHORITY)
-    return strict.select("s_suppkey", F.array_join("reasons", ",").alias("reasons"), "accepted", "accepted_by_any")
+    return suppliers.select("s_suppkey", parse_subject(subject).alias("subject"))
 
 
 @query("""
@@ -146,6 +166,14 @@ def order_serials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_serials(orders, ["o_orderdate", "o_orderkey"], COUNTER).drop("o_orderdate")
 
 
+@query("""
+    SELECT CAST(28 + count(*) AS BIGINT) AS next_serial, printf('%02X', CAST(28 + count(*) AS BIGINT)) AS next_serial_hex FROM orders
+""")
+def next_order_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counter to store after all orders are numbered."""
+    return next_serial(order_serials(spark, sf_dir), COUNTER)
+
+
 @query("""
     WITH subjects AS (SELECT doc_id, md5(text) AS subject, source FROM documents),
     firsts AS (SELECT subject, min(doc_id) AS doc_id FROM subjects GROUP BY 1)
@@ -157,8 +185,7 @@ def unique_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as subjects, against the ledger of one source; accepted and rejected rows together."""
     subjects = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("subject"), "source")
     ledger = subjects.filter("source = 'src0'").select("subject")
-    accepted, rejected = enforce_unique_subject(subjects.drop("source"), ledger, "doc_id")
-    return accepted.withColumn("accepted", F.lit(True)).unionByName(rejected.withColumn("accepted", F.lit(False)))
+    return mark_unique_subject(subjects.drop("source"), ledger, "doc_id")
 
 
 @query("""
