@@ -16,7 +16,9 @@ there; so a key is found without a search. As Spark writes the blocks, a lost ta
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -26,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tollbridge.llm.base import join_small, slices
+from tollbridge.llm.bpe import CACHED_PRETOKENS, PRETOKEN, byte_letters
 from tollbridge.llm.units import UnitCache, special_tokens
 
 BLOCK_BYTES = 8 << 20
@@ -147,12 +150,24 @@ def library_cache(tokenizer_json: str) -> UnitCache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(tokenizer_json)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        if json.loads(tokenizer_json)["pre_tokenizer"]["type"] != "ByteLevel":
+            raise ValueError("not a byte-level tokenizer file")
+        model, letters = tokenizer.model, {byte: letter for letter, byte in byte_letters().items()}
+        known: dict[str, bytes] = {}
 
         def encode(units: list[str]) -> list[bytes]:
-            found = tokenizer.encode_batch_fast(units, add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in found]
+            """The library's model gets each new pretoken once, in the letters of its byte-level vocabulary."""
+            if len(known) > CACHED_PRETOKENS:
+                known.clear()
+            out = []
+            for unit in units:
+                own = PRETOKEN.findall(unit)
+                for pretoken in own:
+                    if pretoken not in known:
+                        ids = [t.id for t in model.tokenize(pretoken.encode().decode("latin-1").translate(letters))]
+                        known[pretoken] = struct.pack(f"<{len(ids)}I", *ids)
+                out.append(b"".join([known[p] for p in own]))
+            return out
 
         specials = {s: np.array([i], "<u4").tobytes() for s, i in special_tokens(tokenizer_json).items()}
         _cache.clear()

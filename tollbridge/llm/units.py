@@ -43,28 +43,29 @@ class UnitCache:
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each, little-endian."""
-        parts = [[("s", p) if p in self.specials else ("t", cut(p)) for p in self._segments(t)] for t in texts]
-        rest, heads = set(), set()
-        for text in parts:
-            for kind, own in text:
-                if kind == "t":
-                    heads.add(own[0])
-                    rest.update(own[1:])
+        parts, rest, heads = [], set(), {""}
+        for text in texts:
+            own = []
+            for segment in self._segments(text):
+                special = self.specials.get(segment)
+                if special is not None:
+                    own.append((special, "", []))
+                    continue
+                units = cut(segment)
+                head, units[0] = units[0], ""  # only the first piece has no space before it
+                heads.add(head)
+                rest.update(units)
+                own.append((b"", head, units))
+            parts.append(own)
+        rest.discard("")
         self._learn(rest)
-        heads.discard("")
+        self.young[""] = b""
         heads = list(heads)
-        head_ids = dict(zip(heads, self.encode(heads))) | {"": b""}
-        get, out = self.young.__getitem__, []
-        for text in parts:
-            ids = []
-            for kind, own in text:
-                if kind == "s":
-                    ids.append(self.specials[own])
-                else:
-                    ids.append(head_ids[own[0]])
-                    ids.extend(map(get, own[1:]))
-            out.append(b"".join(ids))
-        return out
+        head_ids = dict(zip(heads, self.encode(heads)))
+        get = self.young.__getitem__
+        return [
+            b"".join([x for special, head, units in own for x in (special, head_ids[head], *map(get, units))]) for own in parts
+        ]
 
     def _segments(self, text: str) -> list[str]:
         if self.split_specials is None or not any(s in text for s in self.specials):
@@ -75,10 +76,13 @@ class UnitCache:
         if len(self.young) > self.limit // 2:
             self.old, self.young = self.young, {}
         missing = []
-        for unit in wanted - self.young.keys():
-            ids = self.old.get(unit)
+        young, old = self.young, self.old
+        for unit in wanted:
+            if unit in young:
+                continue
+            ids = old.get(unit)
             if ids is None:
                 missing.append(unit)
             else:
-                self.young[unit] = ids
-        self.young.update(zip(missing, self.encode([" " + unit for unit in missing])))
+                young[unit] = ids
+        young.update(zip(missing, self.encode([" " + unit for unit in missing])))
