@@ -23,6 +23,7 @@ MENU = "<ul>" + "".join(f'<li><a href="/{i}">Entry {i}</a></li>' for i in range(
     f"<body><article>{BODY}<section class='comments'><p>Nice one, sir. Thanks.</p></section></article><div class=sidebar><p>Other, longer texts. Read on.</p></div></body>",
     f"<body><nav>{MENU}</nav><article>{BODY.replace('</p>', '')}",
     f"<!DOCTYPE html><BODY><DIV ROLE='navigation'>{MENU}</DIV><ARTICLE>{BODY}</ARTICLE><!-- <p>hidden, really.</p> --></BODY>",
+    f"<body class='menu'><div id=page class='has-sidebar no-banner'><div class='with-menu'>{BODY}</div><div class='right-sidebar'><p>Read this, too.</p></div></div></body>",
     f"<body><article>{BODY}</article><p hidden>Not seen, at all.</p><div style='display: none'>Nor this, nor that.</div></body>",
 ])
 def test_known_pages(page):

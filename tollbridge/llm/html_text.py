@@ -40,6 +40,8 @@ DROPPED_NAMES = frozenset(
     "recommendations comment comments disqus reply replies respond discussion form search searchbox pagination pager toolbar copyright "
     "disclaimer skip outbrain taboola teaser teasers".split()
 )
+#: A name after one of these tells what the page has beside the element: with-sidebar, no-menu.
+STATES = frozenset("has no not with without hide show is".split())
 DROPPED_OUTSIDE = frozenset("header masthead topbar top head banner hero".split())
 #: A start tag closes these open elements first.
 CLOSES = {
@@ -72,7 +74,8 @@ def _names(attributes: str) -> tuple[str, set[str], bool, bool]:
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
-            words.update(x.lower() for x in _NAME.findall(value))
+            own = [x.lower() for x in _NAME.findall(value)]
+            words.update(x for before, x in zip(["", *own], own) if before not in STATES)
             main = main or (name == "role" and value.lower() in ("main", "article"))
             if name == "class":
                 shown = "." + value
