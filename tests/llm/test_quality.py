@@ -84,6 +84,17 @@ def test_too_few_labels_certify_nothing(spark):
     assert set(range(740)) <= kept
 
 
+def test_labels_that_suffice(spark):
+    """86 good labels without a false rejection certify each of four strata; 85 certify none."""
+    docs, labels = corpus(spark, 86)
+    four = docs.where("lang = 'en'").drop("lang").crossJoin(spark.createDataFrame([(k, f"l{k}") for k in range(4)], "k bigint, lang string"))
+    four = four.selectExpr("10000 * k + doc_id AS doc_id", "text", "lang")
+    own = labels.where("doc_id < 106").crossJoin(spark.range(4)).selectExpr("10000 * id + doc_id AS doc_id", "quality")
+    kept = [r.doc_id for r in quality.keep_good(four, own).collect()]
+    assert sorted(kept) == [10000 * k + i for k in range(4) for i in range(86)]
+    assert quality.keep_good(four, own.where("doc_id % 10000 > 0")).count() == 4 * (86 + 40)
+
+
 def test_false_rejections_are_limited(spark):
     """A rule that rejects a tenth of the good documents isn't certified at a risk of 5 %."""
     docs, labels = corpus(spark)

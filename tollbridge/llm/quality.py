@@ -1,13 +1,15 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Every rule is a ratio of a document, large in bad ones. Labelled documents say how often a cutoff
-would reject a good one: with k of n good holdout documents above the cutoff, the hypothesis "more
-than ``risk`` of the good ones are rejected" has the exact p-value P(Bin(n, risk) <= k). Within one
-stratum and rule the cutoffs are tested from the mildest to the strictest, and those before the first
-failure are certified (fixed-sequence testing needs no correction along the sequence); the
-sequences of all strata and rules share ``error`` by Bonferroni's correction, and the rules of a
-stratum share ``risk``. So with probability 1 - ``error`` no stratum loses more than ``risk`` of its
-good documents to the rules. A stratum whose labels can't show that keeps all its documents.
+Every rule is a ratio of a document, large in bad ones. The cutoffs of all rules form one fixed sequence
+of joint cutoffs, from the mildest to the strictest: the rules are tightened in turn. Labelled documents
+say how often a joint cutoff would reject a good one: with k of n good holdout documents that any rule
+rejects, the hypothesis "more than ``risk`` of the good ones are rejected" has the exact p-value
+P(Bin(n, risk) <= k). Within one stratum the joint cutoffs are tested in their order, and those before
+the first failure are certified (fixed-sequence testing needs no correction along the sequence); the
+strata share ``error`` by Bonferroni's correction. So with probability 1 - ``error`` no stratum loses
+more than ``risk`` of its good documents to the rules. A stratum whose labels can't show that keeps all
+its documents: without a false rejection it takes log(error / strata) / log(1 - risk) good labels, 86 for
+four strata.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ RULES: dict[str, tuple[float, ...]] = {
     "shout_ratio": RATIO_STEPS,
     "word_length": (60.0, 40.0, 30.0, 20.0, 15.0, 12.0, 10.0, 9.0, 8.0, 7.0),
 }
+#: The joint cutoffs, mildest first: each step tightens the next rule by one of its cutoffs. Step and rule -> cutoff.
+TIGHTENED = [(rule, cut) for at in range(max(map(len, RULES.values()))) for rule in RULES for cut in RULES[rule][at : at + 1]]
 #: Part of all bad documents that a rule may let go for a milder cutoff than the strictest certified one.
 SPARED = 0.005
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -123,8 +127,10 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.05, erro
 
     ``measured`` has doc_id, stratum and the struct ``of``. A document is good if all its labels have
     quality 1 and bad if all have 0; labels without doc_id or quality say nothing. Documents that the
-    base rule rejects are rejected anyway and aren't counted. Of the certified cutoffs the mildest is
-    taken that lets go nearly no bad documents beyond the strictest. Without labels there are no rows.
+    base rule rejects are rejected anyway and aren't counted. Of the certified steps the mildest is
+    taken that lets go nearly no bad documents beyond the strictest; there each bad document is left to the
+    first rule that rejects it, and every rule goes back to its mildest cutoff that still rejects nearly all
+    of its own (milder cutoffs than certified ones lose a part of the same good documents). Without labels there are no rows.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(
         F.min("quality").alias("low"), F.max("quality").alias("high")
@@ -132,27 +138,46 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.05, erro
     known = known.where("low = high").select("doc_id", (F.col("low") == 1).alias("good"))
     holdout = measured.where(~base_failed(F.col("of"))).select("doc_id", "stratum", "of").join(known, "doc_id")
 
-    def above(good: bool, ending: str) -> list[Column]:
-        own = F.col("good") if good else ~F.col("good")
-        return [
-            F.array(*[F.count_if(own & (value > cut)) for cut in RULES[rule]]).alias(rule + ending)
-            for rule, value in ratios(F.col("of")).items()
-        ]
+    values = ratios(F.col("of"))
+    first = F.least(*[  # the step that rejects a document first; null if none does
+        F.coalesce(*[F.when(value > cut, F.lit(step)) for step, (own, cut) in enumerate(TIGHTENED) if own == rule])
+        for rule, value in values.items()
+    ])
+    holdout = holdout.withColumn("first", first)
 
-    seen = holdout.groupBy("stratum").agg(F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("n_bad"), *above(True, ""), *above(False, "_bad"))
+    def by_step(good: Column) -> Column:
+        return F.array(*[F.count_if(good & (F.col("first") <= step)) for step in range(len(TIGHTENED))])
+
+    seen = holdout.groupBy("stratum").agg(
+        F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("n_bad"), by_step(F.col("good")).alias("lost"), by_step(~F.col("good")).alias("caught")
+    )
     seen = cut_lineage(seen, "quality-holdout")
-    sequences = max(1, seen.count()) * len(RULES)
+    strata = max(1, seen.count())
+    fails = F.transform("lost", lambda k: binomial_tail(F.col("n"), k, risk) > error / strata)
+    first_failure = F.array_position(fails, True).cast("int")
+    certified = F.slice("caught", 1, F.when(first_failure == 0, len(TIGHTENED)).otherwise(first_failure - 1))
+    enough = F.transform(certified, lambda k: k >= F.element_at(certified, -1) - SPARED * F.col("n_bad"))
+    steps = F.when(F.size(certified) > 0, F.array_position(enough, True).cast("int")).otherwise(0)
+    taken = cut_lineage(seen.select("stratum", "n_bad", steps.alias("steps")), "quality-steps")
+
+    strictest = {rule: sum((F.col("steps") > at).cast("int") for at, (own, _) in enumerate(TIGHTENED) if own == rule) for rule in RULES}
+    bad = join_small(holdout.where(~F.col("good")), taken.select("stratum", "steps"), "stratum", "inner")
+    others, own = F.lit(False), {}
+    for rule, value in values.items():
+        hit = F.coalesce(value > F.get(F.array(*map(F.lit, RULES[rule])), strictest[rule] - 1), F.lit(False))
+        own[rule] = hit & ~others
+        others = others | hit
+    left = [F.array(*[F.count_if(own[rule] & (value > cut)) for cut in RULES[rule]]).alias(rule) for rule, value in values.items()]
+    taken = join_small(taken, cut_lineage(bad.groupBy("stratum").agg(*left), "quality-caught"), "stratum")
 
     def chosen(rule: str) -> Column:
-        cuts = F.array(*[F.lit(c) for c in RULES[rule]])
-        fails = F.transform(rule, lambda k: binomial_tail(F.col("n"), k, risk / len(RULES)) > error / sequences)
-        first_failure = F.array_position(fails, True).cast("int")
-        strictest = F.when(first_failure == 0, len(RULES[rule])).otherwise(first_failure - 1)
-        caught = F.slice(F.col(rule + "_bad"), 1, strictest)
-        enough = F.transform(caught, lambda k: k >= F.element_at(caught, -1) - SPARED * F.col("n_bad"))
-        return F.when(strictest > 0, F.get(cuts, F.array_position(enough, True).cast("int") - 1)).alias(rule)
-
-    return seen.select("stratum", *map(chosen, RULES))
+        kept = F.slice(rule, 1, strictest[rule])
+        enough = F.transform(kept, lambda k: k >= F.element_at(kept, -1) - SPARED * F.col("n_bad"))
+        cuts = F.array(*map(F.lit, RULES[rule]))
+        at = F.coalesce(F.array_position(enough, True).cast("int"), F.lit(1))  # without bad documents the mildest
+        return F.when(strictest[rule] > 0, F.get(cuts, at - 1)).alias(rule)
+
+    return taken.select("stratum", *map(chosen, RULES))
 
 
 def judge_measured(measured: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
