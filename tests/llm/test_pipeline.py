@@ -9,8 +9,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.llm.test_decontaminate import best_distance
 from tests.llm.test_lines import expected as plain_lines
+from tests.llm.test_near_copies import plain_groups
 from tests.llm.test_quality import expected as plain_counts
-from tests.llm.test_simhash import plain_components, plain_fingerprint
 from tollbridge.llm.decontaminate import edit_budget, item_words
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -57,9 +57,8 @@ def test_lines(stages):
 
 def test_near_copies(stages):
     _, before, after, _ = stages[2]
-    ids = [r.doc_id for r in before]
-    label = plain_components(ids, [plain_fingerprint(r.text) for r in before], 4)
-    assert {tuple(r) for r in after} == {tuple(r) for r in before if label[r.doc_id] == r.doc_id}
+    least = plain_groups({r.doc_id: r.text for r in before})
+    assert {tuple(r) for r in after} == {tuple(r) for r in before if least[r.doc_id] == r.doc_id}
 
 
 def test_leaks(spark, stages):

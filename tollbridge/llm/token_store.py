@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import json
 import os
-import struct
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -28,10 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tollbridge.llm.base import join_small, slices
-from tollbridge.llm.bpe import CACHED_PRETOKENS, PRETOKEN, byte_letters
 from tollbridge.llm.units import UnitCache, special_tokens
 
 BLOCK_BYTES = 8 << 20
+#: The letter of the space in a byte-level vocabulary (fixed value), and a unit with its space.
+SPACE_LETTER = "Ġ"
+UNIT = re.compile(r" \S[^ ]*\Z")
 MASK = (1 << 64) - 1
 SCHEMA = (
     "shard int, block int, first_key bigint, last_key bigint, n_null int, n_docs int, n_ids bigint, "
@@ -152,26 +154,24 @@ def library_cache(tokenizer_json: str) -> UnitCache:
         tokenizer = Tokenizer.from_str(tokenizer_json)
         if json.loads(tokenizer_json)["pre_tokenizer"]["type"] != "ByteLevel":
             raise ValueError("not a byte-level tokenizer file")
-        model, letters = tokenizer.model, {byte: letter for letter, byte in byte_letters().items()}
-        known: dict[str, bytes] = {}
+        specials = special_tokens(tokenizer_json)
+        if any(" " in s for s in specials):
+            raise ValueError("an added token holds a space")
+        starts = np.zeros(1 + max(tokenizer.get_vocab().values()), bool)
+        starts[[i for token, i in tokenizer.get_vocab().items() if token.startswith(SPACE_LETTER)]] = True
 
         def encode(units: list[str]) -> list[bytes]:
-            """The library's model gets each new pretoken once, in the letters of its byte-level vocabulary."""
-            if len(known) > CACHED_PRETOKENS:
-                known.clear()
-            out = []
-            for unit in units:
-                own = PRETOKEN.findall(unit)
-                for pretoken in own:
-                    if pretoken not in known:
-                        ids = [t.id for t in model.tokenize(pretoken.encode().decode("latin-1").translate(letters))]
-                        known[pretoken] = struct.pack(f"<{len(ids)}I", *ids)
-                out.append(b"".join([known[p] for p in own]))
-            return out
-
-        specials = {s: np.array([i], "<u4").tobytes() for s, i in special_tokens(tokenizer_json).items()}
+            """Units are one text for the library: a token begins with the space's letter just where a unit begins."""
+            if not units or not all(map(UNIT.match, units)):
+                whole = tokenizer.encode_batch_fast(units, add_special_tokens=False)
+                return [np.array(e.ids, "<u4").tobytes() for e in whole]
+            ids = np.array(tokenizer.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.append(np.flatnonzero(starts[ids]), len(ids))).tolist()
+            packed = ids.tobytes()
+            return [packed[a:b] for a, b in zip(ends, ends[1:])]
+
         _cache.clear()
-        _cache[tokenizer_json] = UnitCache(encode, specials)
+        _cache[tokenizer_json] = UnitCache(encode, {s: np.array([i], "<u4").tobytes() for s, i in specials.items()})
     return _cache[tokenizer_json]
 
 

@@ -43,46 +43,46 @@ class UnitCache:
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each, little-endian."""
-        parts, rest, heads = [], set(), {""}
+        parts, flat = [], []
         for text in texts:
             own = []
             for segment in self._segments(text):
                 special = self.specials.get(segment)
                 if special is not None:
-                    own.append((special, "", []))
+                    own.append((special, "", len(flat)))
                     continue
-                units = cut(segment)
-                head, units[0] = units[0], ""  # only the first piece has no space before it
-                heads.add(head)
-                rest.update(units)
-                own.append((b"", head, units))
+                head, *units = cut(segment)  # only the first piece has no space before it
+                flat += units
+                own.append((b"", head, len(flat)))
             parts.append(own)
-        rest.discard("")
-        self._learn(rest)
-        self.young[""] = b""
-        heads = list(heads)
-        head_ids = dict(zip(heads, self.encode(heads)))
-        get = self.young.__getitem__
-        return [
-            b"".join([x for special, head, units in own for x in (special, head_ids[head], *map(get, units))]) for own in parts
-        ]
+        ids = self._ids(flat)
+        heads = list({head for own in parts for _, head, _ in own})
+        head_ids, at, out = dict(zip(heads, self.encode(heads))), 0, []
+        for own in parts:
+            pieces = []
+            for special, head, end in own:
+                pieces += (special, head_ids[head], *ids[at:end])
+                at = end
+            out.append(b"".join(pieces))
+        return out
 
     def _segments(self, text: str) -> list[str]:
         if self.split_specials is None or not any(s in text for s in self.specials):
             return [text]
         return [p for p in self.split_specials.split(text) if p]
 
-    def _learn(self, wanted: set[str]) -> None:
+    def _ids(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit, with the space before it; the missing ones are encoded together, each once."""
         if len(self.young) > self.limit // 2:
             self.old, self.young = self.young, {}
-        missing = []
         young, old = self.young, self.old
+        ids = list(map(young.get, units))
+        wanted, missing = {u for u, i in zip(units, ids) if i is None}, []
         for unit in wanted:
-            if unit in young:
-                continue
-            ids = old.get(unit)
-            if ids is None:
+            known = old.get(unit)
+            if known is None:
                 missing.append(unit)
             else:
-                young[unit] = ids
+                young[unit] = known
         young.update(zip(missing, self.encode([" " + unit for unit in missing])))
+        return [young[u] if i is None else i for u, i in zip(units, ids)] if wanted else ids
