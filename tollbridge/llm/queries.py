@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tollbridge.llm import (
-    bpe, decontaminate, fill_middle, html_text, language, licenses, lines, prefix_trie, quality, secrets, simhash, token_store,
+    bpe, decontaminate, fill_middle, html_text, language, licenses, lines, passages, prefix_trie, quality, secrets, simhash, token_store,
 )
 from tollbridge.queries.registry import table
 from tollbridge.session import fresh_folder
@@ -203,3 +203,30 @@ SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_chil
        CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
 FROM valued n JOIN total USING (id) LEFT JOIN valued p ON p.id = n.parent
 """
+
+
+@query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.dedup_passages(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+ORACLES["op11_substring_dedup"] = """
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+') AS w FROM documents
+), starts AS (
+  SELECT r, unnest(range(1, greatest(len(w) - 33, 1))) AS k FROM split
+), windows AS (
+  SELECT r, k, md5(array_to_string(list_slice(w, k, k + 34), ' ')) AS h FROM starts JOIN split USING (r)
+), again AS (
+  SELECT h FROM windows GROUP BY h HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT r, unnest(range(k, k + 35)) AS j FROM windows JOIN again USING (h)
+), words AS (
+  SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM split
+), kept AS (
+  SELECT words.r, count(*) AS n_kept, string_agg(word, ' ' ORDER BY words.j) AS kept FROM words ANTI JOIN gone USING (r, j) GROUP BY words.r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (r)
+"""
