@@ -174,3 +174,41 @@ def test_sums_wrap_at_64_bits(spark):
              ("e", 4, "D", "$((${E} + 9223372036854775807))"), ("e", 5, "F", "$((${D} + 9223372036854775807))")]
     got = {r["key"]: r["value"] for r in resolve_refs(spark.createDataFrame(lines, SCHEMA)).collect()}
     assert got == {"A": str(top), "B": str(-top - 1), "C": str(-top + 4), "D": str(top), "F": "-2"}
+
+
+def test_a_long_chain_of_texts(spark):
+    """Its lines are as long as they end up, and no line is more than its own texts on the way."""
+    n = 20_000
+    lines = spark.range(n).select(
+        F.lit("e").alias("env_id"), F.col("id").alias("ord"), F.lit("P").alias("key"), F.lit("<${P}>").alias("raw")
+    )
+    got = resolve_refs(lines, {"P": "x"}).select("ord", F.length("value").alias("n"), F.sha2("value", 256).alias("h"))
+    assert got.filter("n <> 2 * ord + 3").count() == 0 and got.count() == n
+    import hashlib
+
+    last = got.filter(f"ord = {n - 1}").first()
+    assert last["h"] == hashlib.sha256(("<" * n + "x" + ">" * n).encode()).hexdigest()
+
+
+@BOTH_WAYS
+def test_lines_that_wait_for_several(spark, setting, wide):
+    limits(setting, wide)
+    lines = [("e", 0, "A", "1"), ("e", 1, "B", "2")]
+    for n in range(2, 60):
+        lines.append(("e", n, "AB"[n % 2], ("${A}-" if n % 5 else "$((${B} + 1))")))
+        lines.append(("e", n * 100, "C", "${A}:${B}:${A}"))
+    lines += [("e", 9000, "D", "[${C}|${C}]"), ("e", 9001, "E", "${D}${NONE}${D}"), ("e", 9002, "F", "$((${E} + 4))")]
+    got = resolve_refs(spark.createDataFrame(lines, SCHEMA))
+    assert {(r["env_id"], r["ord"]): r["value"] for r in got.collect()} == fold(lines, {})
+
+
+@BOTH_WAYS
+def test_an_environment_may_be_null(spark, setting, wide):
+    limits(setting, wide)
+    lines = [(None, 1, "A", "x"), (None, 2, "B", "${A}y"), ("", 1, "A", "z"), ("", 2, "B", "${A}${B}"), (None, 3, "C", "${B}${A}"), ("e", 1, None, "${A}")]
+    got = resolve_refs(spark.createDataFrame(lines, SCHEMA)).collect()
+    assert {(r["env_id"], r["ord"]): r["value"] for r in got} == {
+        (None, 1): "x", (None, 2): "xy", (None, 3): "xyx", ("", 1): "z", ("", 2): "z", ("e", 1): ""
+    }
+    with pytest.raises(ValueError, match="no ord"):
+        resolve_refs(spark.createDataFrame([*lines, ("e", None, "Q", "1")], SCHEMA))

@@ -101,5 +101,7 @@ def _scan_by_ranges(line: DataFrame, keys: Sequence[str], order: str, found: str
         .drop("_top")
     )
     scanned = pieces.withColumn("_local", F.max(found).over(within))
-    joined = scanned.join(F.broadcast(carry), ["_piece", *keys], "left")
-    return joined.withColumn(found, F.coalesce("_local", "_carry"))
+    renamed = carry.select(*[F.col(c).alias(f"_carry_{c}") for c in ("_piece", *keys)], "_carry")
+    same = [F.col(c).eqNullSafe(F.col(f"_carry_{c}")) for c in ("_piece", *keys)]  # a null key is a key
+    joined = scanned.join(F.broadcast(renamed), same, "left")
+    return joined.select(*scanned.columns, "_carry").withColumn(found, F.coalesce("_local", "_carry"))

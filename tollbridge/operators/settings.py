@@ -17,10 +17,13 @@ REFERENCE = r"\$\{([A-Za-z_][A-Za-z0-9_]*)\}"
 SUM = r'^"?\$\(\(\s*(\$\{[A-Za-z_][A-Za-z0-9_]*\}|-?\d+)\s*\+\s*(-?\d+)\s*\)\)"?$'
 WRAPPED = r"""(?s)^(?:"?\$\(\(\s*(\$\{[A-Za-z_][A-Za-z0-9_]*\}|-?\d+)\s*\+\s*-?\d+\s*\)\)"?|"(.*)"|'(.*)')$"""
 
-LINE = ["env_id", "ord"]
+# A line is known by its environment, null included, and its number.
+ENV = "_env"
+LINE = [ENV, "ord"]
 
-# While a line is worked out it has its parts as long as it is open, its value once it is not.
-PARTS = "array<struct<lit:string,ref:bigint>>"
+# A worked line has its value. One that waits for a single other has the texts before and after that
+# one's value; one that waits for several keeps its own pieces.
+FLAT = [*LINE, "plus", "pre", "ref", "post", "value"]
 
 
 def overlay_layers(assignments: DataFrame) -> DataFrame:
@@ -37,61 +40,77 @@ def resolve_refs(
     """Add ``value`` to assignments(env_id, ord, key, raw): ``${X}`` stands for the value X had at
     that line, else its external value, else nothing; ``$((${X} + n))`` is the sum.
 
-    Which line a reference means depends only on names and line numbers, so it is settled first,
-    in one ordered scan. Then every line takes over the pieces of the lines it refers to, all at
-    once; these may refer further back, so the reach doubles with each round and a chain of n
-    lines needs about log2(n) rounds; where texts over sums and sums over texts take turns, a text
-    waits for the sum under it, and each turn takes a round. A base that is no integer counts as 0,
-    and sums wrap at 64 bits, as in the shell. A line is known by ``env_id`` and ``ord``: a repeated pair is an
+    Which line a reference means depends only on names and line numbers, so it is settled first, in one
+    ordered scan. A line that refers to one other is then a text before and a text after that one's
+    value, or a sum over it. All such lines take over the line they refer to at once: the reach doubles
+    with each round, a chain of n lines takes about log2(n) rounds, and a line never holds more than two
+    texts, parts of its own value. A line that refers to several waits until they are settled but for
+    one. Such lines one over the other, and texts over sums and sums over texts that take turns, take a
+    round each. A base that is no integer counts as 0, and sums wrap at 64 bits, as in the shell. A line
+    is known by ``env_id``, which may be null, and ``ord``: a repeated pair or a missing ``ord`` is an
     error. There is no limit unless ``max_rounds`` is set, and reaching that is an error.
     """
-    lines = _read_lines(_unique_lines(assignments))
+    lines = _read_lines(_unique_lines(assignments.withColumn(ENV, _env_key(assignments))))
     pieces = cut_lineage(_pieces(lines), "refs")
     named = pieces.filter("name is not null")
-    defs = assignments.select("env_id", F.col("key").alias("name"), "ord")
-    meant = last_before(named, defs, ["env_id", "name"], "ord", "ref")
+    defs = lines.select(ENV, F.col("key").alias("name"), "ord")
+    meant = last_before(named, defs, [ENV, "name"], "ord", "ref")
     meant = _with_externals(meant, externals)
     plain = pieces.filter("name is null").withColumn("ref", F.lit(None).cast("bigint"))
     known = [*LINE, "plus", "pos", "lit", "ref"]
-    taken = meant.select(*known).unionByName(plain.select(*known)).select(
-        *LINE, "plus", "pos", F.array(F.struct("lit", "ref")).alias("parts"), F.col("ref").isNotNull().alias("open")
-    )
-    targets = meant.filter("ref is not null").select("env_id", F.col("ref").alias("ord")).distinct()
+    begun = _own_parts(meant.select(*known).unionByName(plain.select(*known)))
+    targets = meant.filter("ref is not null").select(ENV, F.col("ref").alias("ord")).distinct()
     settled = lines.filter("not open").join(targets, LINE, "left_semi").select(
-        *LINE,
-        F.lit(None).cast(PARTS).alias("parts"),
-        F.lit(None).cast("bigint").alias("plus"),
+        *LINE, F.lit(None).cast("bigint").alias("plus"), *_nothing("pre", "ref", "post"),
         _summed(F.coalesce("body", F.lit("")), F.col("plus")).alias("value"),
     )
-    written = cut_lineage(_put_together(taken).unionByName(settled), "refs")
+    begun = cut_lineage(begun, "refs-begun")
+    written, wide = cut_lineage(_flat(begun).unionByName(settled), "refs"), begun.filter("parts is not null")
     done, rows, size_bytes, rounds = None, 0, 0, 0
     while True:
         # Only lines that are still open are worked on and written again; settled ones stay where they are.
-        own_rows, own_bytes, still_open = measure(written, F.count_if(F.col("value").isNull()))
+        own_rows, own_bytes, narrow = measure(written, F.count_if(F.col("value").isNull()))
+        several = wide.count() if wide is not None else 0
         rows, size_bytes = rows + own_rows, size_bytes + own_bytes
         small = within_limits(written, rows, size_bytes)
         ready = written.filter("value is not null")
         done = ready if done is None else done.unionByName(ready)
-        if not still_open:
+        if not narrow and not several:
             break
         if max_rounds is not None and rounds == max_rounds:
             raise ValueError(f"references are still open after {max_rounds} rounds")
         still = written.filter("value is null")
-        written = cut_lineage(_take_over(still, done, small), "refs")
+        state = done.unionByName(still)
+        taken = _take_over(still, state, small)
+        wide = cut_lineage(_take_values(wide, done, small), "refs-wide") if several else None
+        written = cut_lineage(taken.unionByName(_flat(wide)) if several else taken, "refs")
+        wide = wide.filter("parts is not null") if several else None
         rounds += 1
-    state = done
-    worked_out = state.select(*LINE, F.col("value").alias("_value"))
+    worked_out = done.select(*LINE, F.col("value").alias("_value"))
     plain_value = _summed(F.coalesce("body", F.lit("")), F.col("plus"))
     return attach(lines, worked_out, LINE, small).select(
         *assignments.columns, F.coalesce("_value", plain_value).alias("value")
     )
 
 
-def _unique_lines(assignments: DataFrame) -> DataFrame:
-    twice = assignments.groupBy(*LINE).count().filter("count > 1").first()
-    if twice is not None:
-        raise ValueError(f"two lines of environment {twice['env_id']!r} have ord {twice['ord']}")
-    return assignments
+def _env_key(df: DataFrame) -> Column:
+    """The environment as a text that is never null; the only one if the table has no ``env_id``."""
+    if "env_id" not in df.columns:
+        return F.lit("")
+    return F.coalesce(F.concat(F.lit("="), F.col("env_id").cast("string")), F.lit(""))
+
+
+def _nothing(*names: str) -> list[Column]:
+    return [F.lit(None).cast("bigint" if n == "ref" else "string").alias(n) for n in names]
+
+
+def _unique_lines(lines: DataFrame) -> DataFrame:
+    odd = lines.groupBy(*LINE).count().filter("count > 1 or ord is null").first()
+    if odd is not None:
+        named = repr(odd[ENV][1:]) if odd[ENV] else "without a name"
+        wrong = "a line has no ord" if odd["ord"] is None else f"two lines have ord {odd['ord']}"
+        raise ValueError(f"in environment {named} {wrong}")
+    return lines
 
 
 def _read_lines(assignments: DataFrame) -> DataFrame:
@@ -136,62 +155,73 @@ def _with_externals(meant: DataFrame, externals: Mapping[str, str] | DataFrame |
         return meant
     if not isinstance(externals, DataFrame):
         externals = meant.sparkSession.createDataFrame(list(externals.items()), "key string, value string")
-    on = [*(["env_id"] if "env_id" in externals.columns else []), "name"]
-    values = externals.withColumnRenamed("key", "name").groupBy(*on).agg(F.max("value").alias("_outside"))
+    on = [*([ENV] if "env_id" in externals.columns else []), "name"]
+    values = externals.withColumn(ENV, _env_key(externals)).withColumnRenamed("key", "name")
+    values = values.groupBy(*on).agg(F.max("value").alias("_outside"))
     found = attach(meant, values, on)
     outside = F.concat("lit", F.coalesce("_outside", F.lit("")))
     return found.withColumn("lit", F.when(F.col("ref").isNull(), outside).otherwise(F.col("lit"))).drop("_outside")
 
 
-def _put_together(taken: DataFrame) -> DataFrame:
-    """One row per line from its (pos, parts, open) rows; only one line's own are ever gathered."""
-    lines = taken.groupBy(*LINE).agg(
+def _own_parts(rows: DataFrame) -> DataFrame:
+    """One row per line from its (pos, lit, ref) rows, with ``pre``, ``ref`` and ``post`` if one reference
+    is open, ``value`` if none is, ``parts`` if several are; only one line's own rows are ever gathered."""
+    grouped = rows.groupBy(*LINE).agg(
         F.max("plus").alias("plus"),
-        F.max("open").alias("open"),
-        F.array_sort(F.collect_list(F.struct("pos", "parts"))).alias("taken"),
+        F.count("ref").alias("_open"),
+        F.array_sort(F.collect_list(F.struct("pos", "lit", "ref"))).alias("_rows"),
     )
-    lines = lines.select(*LINE, "plus", "open", F.flatten(F.col("taken")["parts"]).alias("parts"))
-    return lines.select(
+    at = F.array_position(F.transform("_rows", lambda r: r["ref"].isNotNull()), True).cast("int")
+    text = lambda first, length: F.array_join(F.slice("_rows", first, length)["lit"], "")
+    one, none = F.col("_open") == 1, F.col("_open") == 0
+    parts = F.transform("_rows", lambda r: F.struct(r["lit"].alias("lit"), r["ref"].alias("ref")))
+    return grouped.select(
         *LINE,
-        F.when(F.col("open"), F.col("parts")).alias("parts"),
-        F.when(F.col("open"), F.col("plus")).alias("plus"),
-        F.when(~F.col("open"), _summed(F.array_join(F.col("parts")["lit"], ""), F.col("plus"))).alias("value"),
+        F.when(~none, F.col("plus")).alias("plus"),
+        F.when(one, text(F.lit(1), at)).alias("pre"),
+        F.when(one, F.element_at("_rows", at)["ref"]).alias("ref"),
+        F.when(one, text(at + 1, F.size("_rows"))).alias("post"),
+        F.when(none, _summed(text(F.lit(1), F.size("_rows")), F.col("plus"))).alias("value"),
+        F.when(F.col("_open") > 1, parts).alias("parts"),
     )
 
 
-def _take_over(still: DataFrame, done: DataFrame, small: bool) -> DataFrame:
-    """One round: every reference of an open line is replaced by the value of the line meant, or
-    by that line's own parts while it is open."""
-    state = done.unionByName(still)
-    uses = still.select(
-        *LINE, "plus", (F.size("parts") == 1).alias("_single"), F.posexplode_outer("parts").alias("pos", "_part")
-    ).select(*LINE, "plus", "_single", "pos", "_part.lit", "_part.ref")
+def _flat(lines: DataFrame) -> DataFrame:
+    return lines.filter("parts is null").select(*FLAT)
+
+
+def _take_over(still: DataFrame, state: DataFrame, small: bool) -> DataFrame:
+    """One round of lines that wait for one other: they take its value, or what it waits for."""
     defs = state.select(
-        "env_id", F.col("ord").alias("ref"), F.col("parts").alias("_parts"), F.col("plus").alias("_plus"),
-        F.col("value").alias("_value"),
-    )
-    met = attach(uses, defs, ["env_id", "ref"], small)
-    is_open = F.col("ref").isNotNull() & F.col("_value").isNull()
-    # A sum over nothing but an open sum becomes one sum; other lines wait for the sum's value.
-    nested = is_open & F.col("plus").isNotNull() & F.col("_single") & (F.col("lit") == "")
-    text = F.array(_text_part(F.concat("lit", F.coalesce("_value", F.lit("")))))
-    waits = is_open & F.col("_plus").isNotNull() & ~nested
-    parts = (
-        F.when(~is_open, text)
-        .when(waits, F.array(F.struct("lit", "ref")))
-        .when(F.col("lit") == "", F.col("_parts"))
-        .otherwise(F.concat(F.array(_text_part(F.col("lit"))), F.col("_parts")))
+        ENV, F.col("ord").alias("ref"), F.col("pre").alias("_pre"), F.col("ref").alias("_ref"), F.col("post").alias("_post"),
+        F.col("plus").alias("_plus"), F.col("value").alias("_value"),
     )
-    taken = met.select(
+    met = attach(still, defs, [ENV, "ref"], small)
+    bare = F.col("plus").isNotNull() & (F.col("pre") == "") & (F.col("post") == "")
+    # A text over an open sum waits for its value; a sum over nothing but a sum is one sum. A line that
+    # isn't among the state yet waits for several.
+    moves = F.col("_value").isNull() & F.col("_ref").isNotNull() & (F.col("_plus").isNull() | bare)
+    both = F.when(F.col("_plus").isNull(), F.col("plus")).otherwise(_wrapped_sum(F.col("plus"), F.col("_plus")))
+    open_ = lambda c: F.when(F.col("_value").isNull(), c)
+    return met.select(
         *LINE,
-        F.when(nested & F.col("_plus").isNotNull(), _wrapped_sum(F.col("plus"), F.col("_plus"))).otherwise(F.col("plus")).alias("plus"),
-        "pos", parts.alias("parts"), is_open.alias("open"),
+        open_(F.when(moves, both).otherwise(F.col("plus"))).alias("plus"),
+        open_(F.when(moves, F.concat("pre", "_pre")).otherwise(F.col("pre"))).alias("pre"),
+        open_(F.when(moves, F.col("_ref")).otherwise(F.col("ref"))).alias("ref"),
+        open_(F.when(moves, F.concat("_post", "post")).otherwise(F.col("post"))).alias("post"),
+        F.when(F.col("_value").isNotNull(), _summed(F.concat("pre", "_value", "post"), F.col("plus"))).alias("value"),
     )
-    return _put_together(taken)
 
 
-def _text_part(text: Column) -> Column:
-    return F.struct(text.alias("lit"), F.lit(None).cast("bigint").alias("ref"))
+def _take_values(wide: DataFrame, done: DataFrame, small: bool) -> DataFrame:
+    """One round of lines that wait for several others: values that are there take their places."""
+    uses = wide.select(*LINE, "plus", F.posexplode("parts").alias("pos", "_part")).select(*LINE, "plus", "pos", "_part.lit", "_part.ref")
+    defs = done.select(ENV, F.col("ord").alias("ref"), F.col("value").alias("_value"))
+    met = attach(uses, defs, [ENV, "ref"], small)
+    return _own_parts(met.select(
+        *LINE, "plus", "pos", F.concat("lit", F.coalesce("_value", F.lit(""))).alias("lit"),
+        F.when(F.col("_value").isNull(), F.col("ref")).alias("ref"),
+    ))
 
 
 def _summed(text: Column, plus: Column) -> Column:
