@@ -7,7 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tollbridge.operators.certificates import attach_certificate, check_policy
+from tollbridge.operators.certificates import attach_certificate, certificate_at, check_policy
+from tollbridge.operators.intervals import disjoint_segments, value_at
 from tollbridge.operators.ranges import cidr_lookup
 from tollbridge.operators.responses import flag_oversize, redirect_requests, substitute_by_status
 from tollbridge.operators.routing import attach_upstream, route_requests
@@ -320,3 +321,79 @@ def test_no_limit(spark):
     requests = spark.createDataFrame([("a", 5)], "host string, body_bytes bigint")
     limits = spark.createDataFrame([("a", "0")], "host string, max_body string")
     assert not flag_oversize(requests, limits, "1").first()["oversize"]
+
+
+def test_a_range_without_a_value_says_nothing(spark, joins):
+    cidrs = spark.createDataFrame([("10.0.0.0/8", 7), ("10.1.0.0/16", None), ("10.2.0.0/16", 8), (None, 5)], "cidr string, value int")
+    df = spark.createDataFrame([("10.1.2.3",), ("10.2.2.3",), ("11.1.1.1",)], "ip string")
+    assert {r["ip"]: r["value"] for r in cidr_lookup(df, "ip", cidrs, 0).collect()} == {"10.1.2.3": 7, "10.2.2.3": 8, "11.1.1.1": 0}
+
+
+@pytest.mark.parametrize("largest", [None, 0], ids=["searched", "sorted"])
+def test_pairs_and_prefixes(spark, joins, setting, monkeypatch, largest):
+    """Ranges of both forms, overlapping in every way, against brute force; few per row, or in one sequence."""
+    if largest is not None:
+        monkeypatch.setattr("tollbridge.operators.intervals.MAX_SEARCHED", largest)
+        setting("spark.tollbridge.order.maxGroupRows", 10)
+    rng = random.Random(8)
+    spans = []
+    for k in range(120):
+        low = 0xC6330000 + rng.randrange(1 << 18)
+        if k % 3:
+            spans.append((low, low + rng.choice([0, 1, 9, 300, 70_000]), k))
+        else:
+            net = ipaddress.ip_network((low, rng.choice([14, 20, 24, 30, 32])), strict=False)
+            spans.append((int(net[0]), int(net[-1]), k))
+    spans += [(0, 0xFFFFFFFF, 1000)]
+    word = lambda n: str(ipaddress.ip_address(n))
+    rows = [(f"{word(a)}-{word(b)}" if k % 3 else f"{word(a)}/{33 - (b - a + 1).bit_length()}", k) for a, b, k in spans[:-1]]
+    rows += [("0.0.0.0 - 255.255.255.255", 1000), ("1.2.3.4-1.2.3.3", 5), ("x-y", 6), ("-", 7), (None, 8)]
+    ips = [0, 0xFFFFFFFF] + [min(max(x, 0), 0xFFFFFFFF) for a, b, _ in spans for x in (a - 1, a, b, b + 1)]
+    best = {word(ip): max((a - b, a, k) for a, b, k in spans if a <= ip <= b)[2] for ip in ips}
+    df = spark.createDataFrame([(word(ip),) for ip in ips] + [(None,), ("bad",)], "ip string")
+    got = cidr_lookup(df, "ip", spark.createDataFrame(rows, "cidr string, value int"), -1).collect()
+    assert len(got) == len(ips) + 2 and all(r["value"] == best.get(r["ip"], -1) for r in got)
+
+
+@pytest.mark.parametrize("largest", [256, 0], ids=["searched", "sorted"])
+def test_certificates_valid_then(spark, joins, monkeypatch, largest):
+    monkeypatch.setattr("tollbridge.operators.intervals.MAX_SEARCHED", largest)
+    rng = random.Random(9)
+    certs = [(n, [f"h{rng.randrange(4)}", "all"], *sorted((rng.randrange(300), rng.randrange(300)))) for n in range(150)]
+    certs += [(900, ["h1"], None, 20), (901, ["h2"], 280, None), (None, ["h0"], 0, 300), (902, ["h3"], 50, 40), (903, None, 1, 2)]
+    asked = [(f"h{rng.randrange(5)}", rng.randrange(-5, 310)) for _ in range(300)] + [("all", t) for t in range(0, 300, 7)] + [(None, 5), ("h1", None)]
+    wanted = sorted((
+        (h, t, max((s for s, names, a, b in certs if s is not None and h in (names or []) and t is not None
+                    and (a is None or a <= t) and (b is None or t <= b)), default=None)) for h, t in asked), key=str)
+    moment = "timestamp_seconds({}) AS {}"
+    df = spark.createDataFrame(certs, "serial bigint, names array<string>, a bigint, b bigint")
+    df = df.selectExpr("serial", "names", moment.format("a", "not_before"), moment.format("b", "not_after"))
+    requests = spark.createDataFrame(asked, "host string, t bigint").selectExpr("host", "t", moment.format("t", "at"))
+    got = certificate_at(requests, df)
+    assert got.columns == ["host", "t", "at", "cert_serial"]
+    assert sorted(((r.host, r.t, r.cert_serial) for r in got.collect()), key=str) == wanted
+
+
+def test_segments_of_nothing(spark):
+    schema = "k string, first bigint, last bigint, r int, v int"
+    none = disjoint_segments(spark.createDataFrame([("a", 5, 5, 1, 1), (None, 1, 2, 1, 1), ("a", None, 2, 1, 1)], schema), ["k"], ["r"], "v")
+    assert none.count() == 0
+    assert value_at(spark.createDataFrame([("a", 3)], "k string, at bigint"), none, ["k"], "at", "v", "w").first()["w"] is None
+
+
+def test_interval_lookups_have_no_nested_loop(spark, joins):
+    certs = spark.createDataFrame([(1, ["a"], None, None)], "serial bigint, names array<string>, not_before timestamp, not_after timestamp")
+    requests = spark.createDataFrame([("a", None)], "host string, at timestamp")
+    text = certificate_at(requests, certs)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text and "Python" not in text
+
+
+def test_a_field_named_twice_takes_the_strictest_rule(spark):
+    requests = spark.createDataFrame([({"C": "YY", "O": "x"},), ({"C": "XX"},)], "subject map<string,string>")
+    rules = [("C", "optional"), ("C", "match"), ("O", "optional"), ("O", "supplied"), (None, "match")]
+    policy = spark.createDataFrame(rules, "field string, rule string")
+    got = [(r["accepted"], r["reasons"]) for r in check_policy(requests, {"C": "XX"}, policy).collect()]
+    assert got == [(False, ["C"]), (False, ["O"])]
+    for odd in ("exact", None):
+        with pytest.raises(ValueError, match="unknown policy"):
+            check_policy(requests, {}, spark.createDataFrame([("C", odd), ("C", "match")], "field string, rule string"))

@@ -8,7 +8,9 @@ from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
+from tollbridge.functions.text import name_list
 from tollbridge.operators.attach import attach, fits_broadcast
+from tollbridge.operators.intervals import disjoint_segments, value_at
 from tollbridge.operators.rows import explode_names
 from tollbridge.session import cut_lineage
 
@@ -21,8 +23,12 @@ ANYTHING_POLICY = {
     "C": "optional", "ST": "optional", "L": "optional", "O": "optional",
     "OU": "optional", "CN": "supplied", "emailAddress": "optional",
 }
+# From the strictest to the laxest.
 RULES = ("match", "supplied", "optional")
 
+# Microseconds that stand for a time without end.
+OPEN = 1 << 62
+
 
 def attach_certificate(routes: DataFrame, certs: DataFrame, uncovered: bool = False) -> DataFrame:
     """Add ``cert_serial`` to each host; of several certificates naming it, the latest serial.
@@ -39,6 +45,26 @@ def attach_certificate(routes: DataFrame, certs: DataFrame, uncovered: bool = Fa
     return routes.select("host").distinct().join(known, "host", "left_anti")
 
 
+def certificate_at(requests: DataFrame, certs: DataFrame, at_col: str = "at", host_col: str = "host") -> DataFrame:
+    """Add ``cert_serial``, the certificate naming the host that was valid at the request's time; of several
+    the latest serial, null if there was none.
+
+    Certificates are valid from ``not_before`` to ``not_after``, both included; a null end is open.
+    Their overlapping times are cut into disjoint ones per host, so that a request meets one row.
+    """
+    names_col = "names" if "names" in certs.columns else "names_text"
+    is_text = certs.schema[names_col].dataType.simpleString() == "string"
+    names = name_list(F.col(names_col)) if is_text else F.col(names_col)
+    moment = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    valid = certs.select(
+        F.explode(names).alias(host_col), F.coalesce(moment("not_before"), F.lit(-OPEN)).alias("first"),
+        (F.coalesce(moment("not_after"), F.lit(OPEN)) + 1).alias("last"), F.col("serial").alias("_rank"), F.col("serial").alias("_serial"),
+    ).filter("_serial is not null")
+    segments = disjoint_segments(valid, [host_col], ["_rank"], "_serial")
+    asked = requests.withColumn("_at", moment(at_col))
+    return value_at(asked, segments, [host_col], "_at", "_serial", "cert_serial").drop("_at")
+
+
 def check_policy(
     requests: DataFrame,
     authority: Mapping[str, str] | DataFrame,
@@ -47,7 +73,8 @@ def check_policy(
 ) -> DataFrame:
     """Add ``accepted`` and ``reasons``, the fields that break the policy, in policy order.
 
-    ``match`` fields must be there and equal the authority's, ``supplied`` ones must be there.
+    ``match`` fields must be there and equal the authority's, ``supplied`` ones must be there. Of several
+    rules of one field in a table the strictest counts: ``match``, ``supplied``, ``optional``.
     The authority is a mapping or a one-row DataFrame with a ``subject`` map; both it and the
     policy are a handful of values and become part of the expression.
     """
@@ -69,11 +96,13 @@ def check_policy(
 
 def _policy_fields(policy: Mapping[str, str] | DataFrame) -> dict[str, str]:
     if isinstance(policy, DataFrame):
-        # one row per subject field: a repeated field is judged once, by the last rule in order
-        policy = {r["field"]: r["rule"] for r in policy.groupBy("field").agg(F.max("rule").alias("rule")).orderBy("field").collect()}
+        # a field named twice is judged by its strictest rule; a rule that isn't known is kept, to be refused
+        strict = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in RULES]), F.col("rule")), F.lit(0))
+        fields = policy.filter("field is not null").groupBy("field").agg(F.min_by("rule", strict).alias("rule"))
+        policy = {r["field"]: r["rule"] for r in fields.orderBy("field").collect()}
     unknown = set(policy.values()) - set(RULES)
     if unknown:
-        raise ValueError(f"unknown policy rules: {sorted(unknown)}")
+        raise ValueError(f"unknown policy rules: {sorted(map(str, unknown))}")
     return dict(policy)
 
 

@@ -54,8 +54,11 @@ def next_serial(numbered: DataFrame, start: int | str) -> DataFrame:
     return following.withColumn("next_serial_hex", hex_text(F.col("next_serial")))
 
 
-def last_before(uses: DataFrame, defs: DataFrame, keys: Sequence[str], order: str, found: str) -> DataFrame:
-    """Add to each use the greatest ``order`` of a definition of its keys that is strictly smaller.
+def last_before(
+    uses: DataFrame, defs: DataFrame, keys: Sequence[str], order: str, found: str, payload: Sequence[str] = ()
+) -> DataFrame:
+    """Add to each use the greatest ``order`` of a definition of its keys that is strictly smaller, or
+    with a ``payload`` a struct of it and these columns of the definition.
 
     Uses and definitions of a key are put in one sequence, uses first where the order is equal;
     the answer is a running maximum. Keys of ordinary size take one window. If any key is larger,
@@ -64,11 +67,11 @@ def last_before(uses: DataFrame, defs: DataFrame, keys: Sequence[str], order: st
     """
     carried = [c for c in uses.columns if c not in (*keys, order)]
     use = F.struct(*carried) if carried else F.struct(F.lit(1).alias("_one"))
-    empty = F.lit(None).cast("bigint")
+    meant = F.struct(order, *payload) if payload else F.col(order).cast("bigint")
+    def_rows = defs.select(*keys, order, meant.alias(found))
+    empty = F.lit(None).cast(def_rows.schema[found].dataType)
     use_rows = uses.select(*keys, order, empty.alias(found), use.alias("_use"))
-    def_rows = defs.select(
-        *keys, order, F.col(order).alias(found), F.lit(None).cast(use_rows.schema["_use"].dataType).alias("_use")
-    )
+    def_rows = def_rows.withColumn("_use", F.lit(None).cast(use_rows.schema["_use"].dataType))
     line = use_rows.unionByName(def_rows)
     largest = line.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if largest <= setting(uses, MAX_GROUP):

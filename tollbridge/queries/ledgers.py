@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tollbridge.functions.text import parse_subject
-from tollbridge.operators.certificates import ANYTHING_POLICY, MATCH_POLICY, attach_certificate, check_policy
+from tollbridge.operators.certificates import ANYTHING_POLICY, MATCH_POLICY, attach_certificate, certificate_at, check_policy
 from tollbridge.operators.ledgers import diff_snapshots, mark_unique_subject
 from tollbridge.operators.ordered import assign_serials, next_serial
 from tollbridge.operators.rows import derive_expiry, explode_names
@@ -103,6 +103,30 @@ def uncovered_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attach_certificate(hosts, page_certificates(spark, sf_dir), uncovered=True)
 
 
+@query(f"""
+    WITH {REQUESTS_SQL},
+    valid AS (SELECT page_id AS serial, unnest([host, 'alt.' || host]) AS host, TIMESTAMP '2024-01-01' + to_days(CAST(page_id * 37 % 700 AS INTEGER)) AS low,
+                     CASE WHEN page_id % 9 > 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(page_id * 37 % 700 + page_id % 5 * 60 AS INTEGER)) END AS high
+              FROM requests),
+    asked AS (SELECT page_id, host, TIMESTAMP '2024-01-01' + to_days(CAST(page_id * 13 % 900 AS INTEGER)) AS moment FROM requests)
+    SELECT page_id, a.host, max(serial) AS cert_serial
+    FROM asked a LEFT JOIN valid v ON a.host = v.host AND moment >= low AND (high IS NULL OR moment <= high) GROUP BY page_id, a.host
+""")
+def certificates_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A certificate per page, each valid for a time of its own, some without end: which was valid then?"""
+    key = F.col("page_id")
+
+    def day(number: F.Column) -> F.Column:
+        return F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(days=number.cast("int"))
+
+    certs = page_certificates(spark, sf_dir, every=True).select(
+        "serial", "names_text", day(F.col("serial") * 37 % 700).alias("not_before"),
+        F.when(F.col("serial") % 9 > 0, day(F.col("serial") * 37 % 700 + F.col("serial") % 5 * 60)).alias("not_after"),
+    )
+    asked = page_requests(table(spark, sf_dir, "pages")).select("page_id", "host", day(key * 13 % 900).alias("at"))
+    return certificate_at(asked, certs).drop("at")
+
+
 @query("SELECT event_id, ts + INTERVAL 824 DAY AS not_after FROM events")
 def certificate_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive_expiry(table(spark, sf_dir, "events").select("event_id", "ts"), "ts").drop("ts")

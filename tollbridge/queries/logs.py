@@ -219,6 +219,35 @@ def address_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cidr_lookup(requests, "ip", ranges, 0).drop("ip")
 
 
+SPAN_SQL = """
+    spans AS (SELECT c_custkey AS value, c_custkey % 2 = 1 AS pair,
+                     CASE WHEN c_custkey % 2 = 1 THEN c_custkey * 97 % 131072 ELSE c_custkey * 97 % 131072 // 64 * 64 END AS low,
+                     CASE WHEN c_custkey % 2 = 1 THEN c_custkey % 300 ELSE 63 END AS more FROM customer WHERE c_custkey % 11 <> 5),
+    asked AS (SELECT event_id, (event_id * 31 + user_id) % 140000 AS v FROM events)
+"""
+
+
+@query(f"""
+    WITH {SPAN_SQL}
+    SELECT event_id, coalesce(arg_max(value, {{'narrow': -more, 'later': low, 'value': value}}), -1) AS value
+    FROM asked LEFT JOIN spans ON v BETWEEN low AND low + more GROUP BY event_id
+""")
+def address_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range per customer, as first and last address or as a prefix, overlapping in every way."""
+
+    def dotted(number: F.Column) -> F.Column:
+        return F.concat(F.lit("198."), 51 + F.floor(number / 65536), F.lit("."), F.floor(number / 256) % 256, F.lit("."), number % 256)
+
+    key = F.col("c_custkey")
+    low = key * 97 % 131072
+    pair = F.concat(dotted(low), F.lit("-"), dotted(low + key % 300))
+    cidr = F.when(key % 2 == 1, pair).otherwise(F.concat(dotted(low), F.lit("/26")))
+    value = F.when(key % 11 != 5, key)  # a range without a value says nothing
+    ranges = table(spark, sf_dir, "customer").select(cidr.alias("cidr"), value.alias("value"))
+    asked = table(spark, sf_dir, "events").select("event_id", dotted((F.col("event_id") * 31 + F.col("user_id")) % 140000).alias("ip"))
+    return cidr_lookup(asked, "ip", ranges, F.lit(-1).cast("bigint")).drop("ip")
+
+
 SUBSTITUTE = '{"error":"upstream","code":502}'
 
 
