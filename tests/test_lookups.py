@@ -397,3 +397,76 @@ def test_a_field_named_twice_takes_the_strictest_rule(spark):
     for odd in ("exact", None):
         with pytest.raises(ValueError, match="unknown policy"):
             check_policy(requests, {}, spark.createDataFrame([("C", odd), ("C", "match")], "field string, rule string"))
+
+
+ODD_PATTERNS = [
+    (r"^blog\.(\w+)\.example\.(net|org)$", "regex"), (r"shop|store", "regex"), (r"^(?i)abc\.example", "regex"), (r"colou?r\.example", "regex"),
+    (r"^x{2,3}yz\.", "regex"), (r"[abc.]{3}\.end$", "regex"), (r"pre(fix|set)[0-9]+\.host", "regex"), (r"(a(b|c))+tail\.net", "regex"),
+    (r"long\-name\.test", "regex"), (r"\Qq.q\E", "regex"), (r".", "regex"), (r"ab+c\.com", "regex"), ("*.example.*", "wildcard"), ("m.*", "wildcard"),
+    ("*", "wildcard"), ("a.b*c.d", "wildcard"),
+]
+ODD_HOSTS = [
+    "blog.en.example.net", "my.shop.org", "abc.example", "ABC.example", "color.example", "colour.example", "xxyz.a", "xyz.a", "a.b.end", "prefix12.host",
+    "presetx.host", "abactail.net", "long-name.test", "q.q", "qxq", "abbbc.com", "abc.com", "www.example.com", "m.n", "a.bXXc.d", "a.bc.d", "z", "", "\u00e9\u00e9\u00e9.\u00e9",
+]
+
+
+def plain_first(port, host):
+    """Of the patterns of this port, by precedence, the first that matches."""
+    ranked = sorted(
+        ((kind == "regex", -len(h) if kind == "wildcard" else n, h, kind) for n, (h, kind) in enumerate(ODD_PATTERNS) if (n + port) % 3),
+    )
+    for _, _, h, kind in ranked:
+        regex = h.replace(r"\Q", "").replace(r"\E", "").replace("q.q", r"q\.q") if kind == "regex" else "^" + "[^/]+".join(map(re.escape, h.split("*"))) + "$"
+        if regex.startswith("^(?i)"):
+            regex = "(?i)^" + regex[5:]
+        if re.search(regex, host):
+            return h
+    return None
+
+
+def test_many_patterns_equal_few(spark, joins, monkeypatch):
+    """Patterns found by their literals against trying each, for routes and for redirects."""
+    monkeypatch.setattr("tollbridge.operators.hosts.CASES", 2)
+    monkeypatch.setattr("tollbridge.operators.responses.CASES", 2)
+    rules = [(port, h, kind, n) for port in (80, 443) for n, (h, kind) in enumerate(ODD_PATTERNS) if (n + port) % 3]
+    routes = spark.createDataFrame([(p, h, k, "", "/", h, False, None, n) for p, h, k, n in rules], ROUTES)
+    asked = [(port, h) for port in (80, 443, 8080) for h in ODD_HOSTS] + [(80, None), (None, "z")]
+    requests = spark.createDataFrame([(p, h, "/") for p, h in asked], "port int, host string, uri string")
+    wanted = {(p, h): plain_first(p, h) if h is not None and p in (80, 443) else None for p, h in asked}
+    assert {(r["port"], r["host"]): r["target"] for r in route_requests(requests, routes).collect()} == wanted
+    moved = spark.createDataFrame(
+        [(k, p, h, "https://$host/" + ("$1" if h == ODD_PATTERNS[0][0] else "new") + "$request_uri$", n) for p, h, k, n in rules],
+        "kind string, port int, host string, template string, rule_ord int",
+    )
+    got = {(r["port"], r["host"]): r["location"] for r in redirect_requests(requests, moved).collect()}
+    assert got == {
+        (p, h): None if w is None else f"https://{h}/{'en' if w == ODD_PATTERNS[0][0] else 'new'}/$" for (p, h), w in wanted.items()
+    }
+    bad = moved.selectExpr("kind", "port", "host", "'$other' AS template", "rule_ord")
+    with pytest.raises(Exception, match="unknown variable"):
+        redirect_requests(requests, bad).collect()
+
+
+def test_patterns_stay_a_table(spark):
+    """50,000 patterns: none in the plan, none on the driver."""
+    ids = spark.range(50_000)
+    routes = ids.selectExpr("80 AS port", "concat('^(www|app)[.]site', id, '[.]example') AS host", "'regex' AS host_kind", "'' AS modifier",
+                            "'/' AS path", "concat('t', id) AS target", "false AS internal")
+    requests = spark.createDataFrame([(80, f"www.site{n}.example.org", "/") for n in range(0, 50_000, 7001)] + [(80, "none", "/")], "port int, host string, uri string")
+    got = route_requests(requests, routes)
+    assert "site7001" not in got._jdf.queryExecution().toString()
+    assert sorted(r["target"] or "" for r in got.collect()) == sorted([f"t{n}" for n in range(0, 50_000, 7001)] + [""])
+
+
+def test_blocks_of_sorted_paths(spark, joins, monkeypatch):
+    """Servers with many nested paths: the block's last path, or what it begins with."""
+    monkeypatch.setattr("tollbridge.operators.routing.LISTED_ROUTES", 1)
+    monkeypatch.setattr("tollbridge.operators.routing.BLOCK_ROUTES", 3)
+    rng = random.Random(12)
+    paths = {"/" + "".join(rng.choices("ab/\u00e9", k=rng.randrange(8))) for _ in range(60)} | {"", "/"}
+    routes = [(80, h, "exact", m, p, f"{h}{m}{p}", False, None, 0) for h in ("h", "i") for p in sorted(paths) for m in ("", "=") if rng.random() < 0.5]
+    cases = [(n, 80, rng.choice(["h", "i", "j"]), "/" + "".join(rng.choices("ab/\u00e9c", k=rng.randrange(10)))) for n in range(300)] + [(300, 80, "h", None)]
+    requests = spark.createDataFrame(cases, "req_id bigint, port int, host string, uri string")
+    got = {r["req_id"]: r["target"] for r in route_requests(requests, spark.createDataFrame(routes, ROUTES)).collect()}
+    assert got == {c[0]: route_by_hand(routes, *c[1:]) if c[3] is not None else None for c in cases}

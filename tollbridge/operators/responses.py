@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tollbridge.functions.rules import truthy
 from tollbridge.functions.text import size_bytes
 from tollbridge.operators.attach import attach
-from tollbridge.operators.hosts import CASES, HostPattern, first_pattern, host_patterns
+from tollbridge.operators.hosts import CASES, HostPattern, first_in_table, first_pattern, host_patterns, many_patterns, pattern_table
+from tollbridge.session import cut_lineage
 
 # A moved host answers 301; a flagged request is sent elsewhere for now, 302.
 MOVED = 301
@@ -17,6 +18,7 @@ ELSEWHERE = 302
 
 # A template is text and variables; a dollar sign that begins no name is text.
 TEMPLATE = re.compile(r"((?:[^$]|\$(?![A-Za-z0-9_]))+)|\$(\d|[A-Za-z_][A-Za-z0-9_]*)")
+TOKEN = TEMPLATE.pattern
 
 
 def redirect_requests(requests: DataFrame, rules: DataFrame, flag_col: str | None = None) -> DataFrame:
@@ -46,7 +48,15 @@ def redirect_requests(requests: DataFrame, rules: DataFrame, flag_col: str | Non
         elsewhere = F.when(truthy(requests, flag_col), _filled(F.col("_flagged")))
     moved = _filled(F.col("_moved"))
     named = F.col("_moved").isNotNull() | F.col("_flagged").isNotNull()
-    moved = F.when(named, moved).otherwise(_by_pattern(host_patterns(rules, "kind", ["template"])))
+    if not requests.isStreaming and many_patterns(rules, "kind"):
+        hosts = cut_lineage(found.filter(~named & F.col("host").isNotNull()).select("port", "host").distinct(), "hosts")
+        patterns = pattern_table(rules, "kind", ["template"])
+        firsts = first_in_table(hosts, patterns.withColumn("_regex", F.col("regex")), "_regex", F.col("template").alias("_template"))
+        found = attach(found, cut_lineage(firsts, "host-patterns"), ["port", "host"])
+        by_pattern = _filled_by_match(F.col("_template"), F.col("_regex"))
+    else:
+        by_pattern = _by_pattern(host_patterns(rules, "kind", ["template"]))
+    moved = F.when(named, moved).otherwise(by_pattern)
     placed = found.withColumns({"_elsewhere": elsewhere, "_location": moved})
     return placed.select(
         *requests.columns,
@@ -60,6 +70,22 @@ def _filled(template: Column) -> Column:
     return F.replace(F.replace(template, F.lit("$host"), F.col("host")), F.lit("$request_uri"), F.col("uri"))
 
 
+def _filled_by_match(template: Column, regex: Column) -> Column:
+    """The template with its variables filled, template and regex being columns; an unknown variable is refused."""
+    tokens = F.regexp_extract_all(template, F.lit(TOKEN), F.lit(0))
+
+    def filled(token: Column) -> Column:
+        digit = token.rlike(r"^\$\d$")
+        captured = F.call_function("regexp_extract", F.col("host"), regex, F.substring(token, 2, 1).cast("int"))
+        unknown = F.raise_error(F.concat(F.lit("unknown variable "), token, F.lit(" in a template"))).cast("string")
+        return (
+            F.when(token == "$host", F.col("host")).when(token == "$request_uri", F.col("uri")).when(digit, captured)
+            .when(token.rlike(r"^\$[A-Za-z_]"), unknown).otherwise(token)
+        )
+
+    return F.array_join(F.transform(tokens, filled), "")
+
+
 def _by_pattern(patterns: list[HostPattern]) -> Column:
     """The location by the first pattern of the host; each pattern's template is filled on its own."""
     if len(patterns) <= CASES:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tollbridge.operators.attach import MAX_BYTES, MAX_ROWS, attach, setting
-from tollbridge.operators.hosts import first_pattern, host_patterns, pattern_key
+from tollbridge.operators.hosts import first_in_table, first_pattern, host_patterns, many_patterns, pattern_key, pattern_table
+from tollbridge.operators.ordered import assign_serials
+from tollbridge.session import cut_lineage
 
-# A host with more routes is looked up by the lengths of its paths instead of through its list.
+# A host with more routes is looked up in blocks of sorted paths instead of through its list.
 LISTED_ROUTES = 64
+# Prefixes of a block.
+BLOCK_ROUTES = 64
 
 SERVER = ["port", "_server"]
 
@@ -27,16 +31,15 @@ def route_requests(requests: DataFrame, routes: DataFrame, merge_slashes: bool =
         path = F.regexp_replace(path, "/{2,}", "/")
     work = requests.withColumn("_path", path)
     servers = _servers(rules)
-    rows, size, longest, lengths = servers.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0)), F.max("n"),
-        F.array_distinct(F.flatten(F.collect_set("lengths"))),
+    rows, size, longest = servers.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0)), F.max("n")
     ).first()
     small = rows <= setting(rules, MAX_ROWS) and size <= setting(rules, MAX_BYTES)
     work = _with_server(work, rules, small)
     if small and (longest or 0) <= LISTED_ROUTES:
         hit = _by_route_lists(work, rules)
     elif small or work.isStreaming:
-        hit = _by_path_lengths(work, rules, sorted(lengths, reverse=True), small)
+        hit = _by_sorted_paths(work, rules, servers, small)
     else:
         hit = _by_probes(work, rules, servers)
     query = F.regexp_extract("uri", r"^[^?#]*(\?[^#]*)?", 1)
@@ -86,9 +89,14 @@ def _servers(rules: DataFrame) -> DataFrame:
 
 def _with_server(work: DataFrame, rules: DataFrame, small: bool) -> DataFrame:
     """Add the server of a request: that of its host's own name, else of the first pattern. Patterns
-    are only tried where no server has the name."""
+    are only tried where no server has the name; many of them once per host."""
     named = rules.filter("host_kind = 'exact'").select("port", "host", F.col("_server").alias("_named")).distinct()
     found = attach(work, named, ["port", "host"], small or None)
+    if not work.isStreaming and many_patterns(rules, "host_kind"):
+        hosts = cut_lineage(found.filter("_named is null and host is not null").select("port", "host").distinct(), "hosts")
+        firsts = cut_lineage(first_in_table(hosts, pattern_table(rules, "host_kind"), "key"), "host-patterns")
+        met = attach(found, firsts, ["port", "host"])
+        return met.withColumn("_server", F.coalesce("_named", "key")).drop("_named", "key")
     patterns = host_patterns(rules, "host_kind")
     return found.withColumn("_server", F.coalesce("_named", first_pattern(patterns))).drop("_named")
 
@@ -109,21 +117,39 @@ def _keyed(rules: DataFrame) -> DataFrame:
     return rules.groupBy(*SERVER, "exact", "path").agg(F.min("route").alias("_r"))
 
 
-def _by_path_lengths(work: DataFrame, rules: DataFrame, lengths: list[int], small: bool) -> DataFrame:
-    """One equi-join for exact locations and one per length of a prefix, longest first: broadcast
-    joins for a small table with many routes per server, and the way of streams past that."""
-    keyed = _keyed(rules)
-    key = [*SERVER, "_probe"]
-    exact = keyed.filter("exact").select(*SERVER, F.col("path").alias("_probe"), F.col("_r").alias("_hit"))
-    found = attach(work.withColumn("_probe", F.col("_path")), exact, key, small or None)
-    for n in lengths:
-        piece = keyed.filter(~F.col("exact") & (F.length("path") == n)).select(
-            *SERVER, F.col("path").alias("_probe"), F.col("_r").alias("_next")
-        )
-        probe = F.when(F.length("_path") >= n, F.substring("_path", 1, n))
-        found = attach(found.withColumn("_probe", probe), piece, key, small or None)
-        found = found.withColumn("_hit", F.coalesce("_hit", "_next")).drop("_next")
-    return found
+def _by_sorted_paths(work: DataFrame, rules: DataFrame, servers: DataFrame, small: bool) -> DataFrame:
+    """Servers with many routes, and large tables of streams: the last of a server's sorted prefixes that
+    is not beyond the path, or the longest prefix of that one which the path begins with.
+
+    A server's prefixes are in blocks, and a first lookup tells the block; so there are three joins,
+    however many routes and lengths there are. Each prefix has its own prefixes with it, the longest first.
+    """
+    keyed = cut_lineage(_keyed(rules), "routes")
+    exact = keyed.filter("exact").select(*SERVER, "path", F.col("_r").alias("_hit"))
+    prefixes = keyed.filter(~F.col("exact")).select(*SERVER, "path", "_r")
+    lengths = servers.select(*SERVER, F.explode("lengths").alias("n"))
+    cuts = prefixes.select(*SERVER, "path").join(lengths, SERVER).filter(F.col("n") < F.length("path"))
+    own = prefixes.select(*SERVER, F.col("path").alias("_above"), F.col("_r").alias("_above_r"))
+    met = cuts.withColumn("_above", F.expr("substring(path, 1, n)")).join(own, [*SERVER, "_above"])
+    above = F.sort_array(F.collect_list(F.struct(F.col("n"), F.col("_above").alias("path"), F.col("_above_r").alias("_r"))), asc=False)
+    parents = met.groupBy(*SERVER, "path").agg(above.alias("_above"))
+    placed = assign_serials(prefixes.join(parents, [*SERVER, "path"], "left"), [*SERVER, "path"], 0)
+    starts = placed.groupBy(*SERVER).agg(F.min("serial").alias("_first"))
+    block = F.floor((F.col("serial") - F.col("_first")) / BLOCK_ROUTES).alias("_block")
+    placed = placed.join(starts, SERVER).select(*SERVER, block, F.struct("path", "_r", "_above").alias("_entry"))
+    blocks = placed.groupBy(*SERVER, "_block").agg(F.array_sort(F.collect_list("_entry")).alias("_routes"))
+    blocks = cut_lineage(blocks, "route-blocks")
+    begin = F.struct(F.col("_routes")[0]["path"].alias("path"), F.col("_block").alias("n"))
+    fences = cut_lineage(blocks.groupBy(*SERVER).agg(F.array_sort(F.collect_list(begin)).alias("_fences")), "route-fences")
+
+    found = attach(work, exact.withColumnRenamed("path", "_path"), [*SERVER, "_path"], small or None)
+    found = attach(found, fences, SERVER, small or None)
+    last = lambda array: F.try_element_at(F.filter(array, lambda e: e["path"] <= F.col("_path")), F.lit(-1))
+    found = attach(found.withColumn("_block", last("_fences")["n"]).drop("_fences"), blocks, [*SERVER, "_block"], small or None)
+    found = found.withColumn("_last", last("_routes")).drop("_routes", "_block")
+    fits = lambda e: F.startswith(F.col("_path"), e["path"])
+    prefix = F.when(fits(F.col("_last")), F.col("_last._r")).otherwise(F.get(F.filter(F.col("_last._above"), fits), F.lit(0))["_r"])
+    return found.withColumn("_hit", F.coalesce("_hit", prefix)).drop("_last")
 
 
 def _by_probes(work: DataFrame, rules: DataFrame, servers: DataFrame) -> DataFrame:
