@@ -197,3 +197,10 @@ def test_numbers_in_text(spark):
     ]
     row = texts(spark, "1b").select(hex_number(F.col("value")), hex_text(F.lit(9)), hex_text(F.lit(255 * 16))).first()
     assert tuple(row) == (27, "09", "FF0")
+
+
+def test_a_group_of_another_kind_loses_only_itself(spark):
+    values = ['{"a":["x"],"b":"y"}', '{"a":["x",5,null,{"q":1}],"b":{"c":["z"]},"d":null,"e":["w"]}', '{\\"a\\":[\\"x\\"],\\"b\\":7}', '["x"]', "{", None, '{"a":[]}']
+    df = spark.createDataFrame(list(enumerate(values)), "n int, v string")
+    got = sorted((tuple(r) for r in explode_json_groups(df, "v").collect()), key=str)
+    assert got == sorted([(0, "a", "x"), (1, "a", "x"), (1, "a", "5"), (1, "a", None), (1, "a", '{"q":1}'), (1, "e", "w"), (2, "a", "x")], key=str)

@@ -62,13 +62,19 @@ def forward_headers(
 
 
 def explode_json_groups(df: DataFrame, col: str, group: str = "group", member: str = "member") -> DataFrame:
-    """One row per member of a JSON object of arrays, also when its quotes are backslash-escaped."""
+    """One row per member of a JSON object of arrays, also when its quotes are backslash-escaped.
+
+    A value of another kind than an array loses only itself; text that is no object gives no row.
+    """
     text = F.col(col)
     plain = F.when(text.rlike(r'^\s*\{\s*\\+"'), F.regexp_replace(text, r'\\+"', '"')).otherwise(text)
     others = [c for c in df.columns if c != col]
-    # Outer explodes keep Spark from adding a filter that would parse every text twice.
+    # An object with values of several kinds is read member by member; the others by one typed parse.
     parsed = F.from_json(plain, "map<string,array<string>>")
-    groups = df.select(*others, F.explode_outer(parsed).alias(group, "_members"))
+    mixed = F.try_variant_get(F.try_parse_json(plain), "$", "map<string,variant>")
+    arrays = F.transform_values(mixed, lambda _, v: F.try_variant_get(v, "$", "array<string>"))
+    # Outer explodes keep Spark from adding a filter that would parse every text twice.
+    groups = df.select(*others, F.explode_outer(F.coalesce(parsed, arrays)).alias(group, "_members"))
     members = groups.select(*others, group, F.posexplode_outer("_members").alias("_at", member))
     return members.filter("_at is not null").drop("_at")
 

@@ -9,11 +9,12 @@ from tollbridge.operators.certificates import ANYTHING_POLICY, MATCH_POLICY, att
 from tollbridge.operators.ledgers import diff_snapshots, mark_unique_subject
 from tollbridge.operators.ordered import assign_serials, next_serial
 from tollbridge.operators.rows import derive_expiry, explode_names
-from tollbridge.plans.certificates import issue_certificates
+from tollbridge.plans.certificates import issue_certificates, read_issued, stream_certificates
 from tollbridge.queries.registry import query, table, utc
 from tollbridge.queries.requests import REQUESTS_SQL, page_requests
 from tollbridge.session import fresh_folder
 from tollbridge.sources.ledger import read_ledger
+from tollbridge.streaming.files import stream_files
 
 COUNTER = "1C"
 
@@ -249,17 +250,40 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def issued_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as requests: one organization is the authority's, urgent names are taken."""
-    name = F.concat("o_custkey", F.lit("."), "o_orderpriority")
+    ledger = table(spark, sf_dir, "customer").select(
+        order_subject(F.lit("O"), F.concat("c_custkey", F.lit(".1-URGENT"))).alias("subject")
+    )
+    issued = issue_certificates(order_requests(table(spark, sf_dir, "orders")), ledger, ORDERS_AUTHORITY, COUNTER)
+    return issued.select("arrival", F.col("subject")["CN"].alias("name"), "not_before", "not_after", "serial")
+
 
-    def subject(organization, common_name):
-        return parse_subject(F.concat(F.lit("/C=XX/ST=YY/O="), organization, F.lit("/CN="), common_name))
+ORDERS_AUTHORITY = {"C": "XX", "ST": "YY", "O": "O"}
 
-    requests = table(spark, sf_dir, "orders").select(
+
+def order_subject(organization: F.Column, common_name: F.Column) -> F.Column:
+    return parse_subject(F.concat(F.lit("/C=XX/ST=YY/O="), organization, F.lit("/CN="), common_name))
+
+
+def order_requests(orders: DataFrame) -> DataFrame:
+    name = F.concat("o_custkey", F.lit("."), "o_orderpriority")
+    return orders.select(
         F.col("o_orderkey").alias("arrival"), F.col("o_orderdate").alias("not_before"),
-        subject(F.col("o_orderstatus"), name).alias("subject"),
+        order_subject(F.col("o_orderstatus"), name).alias("subject"),
     )
-    ledger = table(spark, sf_dir, "customer").select(
-        subject(F.lit("O"), F.concat("c_custkey", F.lit(".1-URGENT"))).alias("subject")
-    )
-    issued = issue_certificates(requests, ledger, {"C": "XX", "ST": "YY", "O": "O"}, COUNTER)
+
+
+@query("""
+    WITH subjects AS (SELECT o_orderkey, o_orderdate, o_custkey || '.' || o_orderpriority AS name FROM orders WHERE o_orderstatus = 'O'),
+    fresh AS (SELECT name, min(o_orderkey) AS o_orderkey FROM subjects GROUP BY 1)
+    SELECT s.o_orderkey AS arrival, s.name, s.o_orderdate AS not_before, s.o_orderdate + INTERVAL 824 DAY AS not_after,
+           CAST(27 + row_number() OVER (ORDER BY s.o_orderkey) AS BIGINT) AS serial
+    FROM subjects s JOIN fresh f ON s.o_orderkey = f.o_orderkey
+""")
+def issued_certificates_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders arriving as a stream, into a ledger that begins empty."""
+    schema = table(spark, sf_dir, "orders").schema
+    requests = order_requests(stream_files(spark, sf_dir, schema, only="orders.parquet"))
+    folder, checkpoint = fresh_folder(spark, "ledger"), fresh_folder(spark, "ledger-checkpoint")
+    stream_certificates(requests, folder, checkpoint, ORDERS_AUTHORITY, COUNTER, available_now=True).awaitTermination()
+    issued = read_issued(spark, folder, requests.schema)
     return issued.select("arrival", F.col("subject")["CN"].alias("name"), "not_before", "not_after", "serial")

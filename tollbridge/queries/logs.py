@@ -12,7 +12,9 @@ from tollbridge.operators.rows import (
 )
 from tollbridge.queries.registry import query, table, utc
 from tollbridge.session import fresh_folder
-from tollbridge.sources.access_log import parse_access_log, read_access_log, write_split_log
+from tollbridge.sources.access_log import (
+    parse_access_log, read_access_log, read_split_batches, write_split_batches, write_split_log,
+)
 from tollbridge.streaming.files import drain, stream_files
 
 STATUS = {"error": 502, "signup": 301, "view": 200, "click": 304, "purchase": 201}
@@ -99,6 +101,14 @@ def access_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"SELECT {FIELDS_SQL} FROM events")
+def access_log_text_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines written as text files and read from there as a stream."""
+    folder = fresh_folder(spark, "access-log")
+    event_lines(table(spark, sf_dir, "events")).select("value").write.text(folder)
+    return zone_free(drain(read_access_log(spark, folder, streaming=True), "access-log"))
+
+
 @query(f"SELECT event_id, {FIELDS_SQL} FROM events")
 def access_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same parse on a stream of the table's files."""
@@ -300,3 +310,14 @@ def split_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, checkpoint = fresh_folder(spark, "split-log"), fresh_folder(spark, "split-log-checkpoint")
     write_split_log(served, folder, "service", "loggable", checkpoint, available_now=True).awaitTermination()
     return spark.read.schema(served.schema).parquet(folder).drop("loggable")
+
+
+@query(SPLIT_SQL)
+def split_log_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of four files, a batch each."""
+    events, parts = table(spark, sf_dir, "events"), fresh_folder(spark, "events")
+    events.repartitionByRange(4, "event_id").write.parquet(parts)
+    served = served_events(stream_files(spark, parts, events.schema, files_per_batch=1))
+    folder, checkpoint = fresh_folder(spark, "split-log"), fresh_folder(spark, "split-log-checkpoint")
+    write_split_batches(served, folder, "service", "loggable", checkpoint, available_now=True).awaitTermination()
+    return read_split_batches(spark, folder, served.schema).drop("loggable")

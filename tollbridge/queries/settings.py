@@ -8,18 +8,38 @@ from tollbridge.operators.settings import overlay_layers, resolve_refs
 from tollbridge.plans.settings import load_settings
 from tollbridge.queries.registry import query, table
 from tollbridge.session import fresh_folder
+from tollbridge.streaming.files import stream_files
+from tollbridge.streaming.settings import read_overlay, stream_overlay
 
 NUMBER = r"\d+"
 
 
-@query("SELECT event_type AS env_id, 'U' || user_id AS key, arg_max(props, event_id) AS value FROM events GROUP BY ALL")
-def last_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlay_layers(table(spark, sf_dir, "events").select(
+LAST_SQL = "SELECT event_type AS env_id, 'U' || user_id AS key, arg_max(props, event_id) AS value FROM events GROUP BY ALL"
+
+
+def event_settings(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_type").alias("env_id"),
         F.col("event_id").alias("ord"),
         F.concat(F.lit("U"), "user_id").alias("key"),
         F.col("props").alias("raw"),
-    ))
+    )
+
+
+@query(LAST_SQL)
+def last_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlay_layers(event_settings(table(spark, sf_dir, "events")))
+
+
+@query(LAST_SQL)
+def last_settings_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same kept up to date from a stream of four files, the latest lines in any of them."""
+    events, parts = table(spark, sf_dir, "events"), fresh_folder(spark, "events")
+    events.repartition(4, "event_id").write.parquet(parts)
+    stream = event_settings(stream_files(spark, parts, events.schema, files_per_batch=1))
+    folder, checkpoint = fresh_folder(spark, "settings"), fresh_folder(spark, "settings-checkpoint")
+    stream_overlay(stream, folder, checkpoint, available_now=True).awaitTermination()
+    return read_overlay(spark, folder)
 
 
 @query("""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tollbridge.functions.rules import truthy
+from tollbridge.streaming.batches import BATCH, put_batch, read_batches, run_batches
 
 # The nine fields of a line, in order; the last one may be missing.
 FIELDS = [
@@ -82,3 +84,30 @@ def write_split_log(
         .option("checkpointLocation", checkpoint)
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start(path)
+
+
+def write_split_batches(
+    stream: DataFrame,
+    path: str,
+    service_col: str,
+    loggable_col: str | None,
+    checkpoint: str,
+    available_now: bool = False,
+    fmt: str = "parquet",
+) -> StreamingQuery:
+    """Split logs of a stream, a folder per batch and in it one per service, read by :func:`read_split_batches`.
+
+    Each batch is rebalanced on the service, so a service has few files of even size in it, and is listed
+    once it is whole; a batch that comes again adds nothing.
+    """
+    kept = stream if loggable_col is None else stream.filter(truthy(stream, loggable_col))
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        put_batch(rows.hint("rebalance", service_col), path, batch_id, [service_col], fmt)
+
+    return run_batches(kept, checkpoint, write, available_now)
+
+
+def read_split_batches(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet") -> DataFrame:
+    """The rows that a stream has written to split logs, of whole batches only."""
+    return read_batches(spark, path, schema, fmt).drop(BATCH)

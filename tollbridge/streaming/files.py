@@ -10,10 +10,13 @@ from tollbridge.session import fresh_folder
 
 
 def stream_files(
-    spark: SparkSession, folder: str, schema: StructType, fmt: str = "parquet", only: str | None = None
+    spark: SparkSession, folder: str, schema: StructType, fmt: str = "parquet", only: str | None = None,
+    files_per_batch: int | None = None,
 ) -> DataFrame:
     """Rows of the files in ``folder`` (those whose name matches ``only``), as they arrive."""
     reader = spark.readStream.format(fmt).schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (reader.option("pathGlobFilter", only) if only else reader).load(folder)
 
 
