@@ -9,6 +9,7 @@ from tollbridge.operators.certificates import ANYTHING_POLICY, MATCH_POLICY, att
 from tollbridge.operators.ledgers import diff_snapshots, mark_unique_subject
 from tollbridge.operators.ordered import assign_serials, next_serial
 from tollbridge.operators.rows import derive_expiry, explode_names
+from tollbridge.operators.snapshots import change_counts, write_snapshot
 from tollbridge.plans.certificates import issue_certificates, read_issued, stream_certificates
 from tollbridge.queries.registry import query, table, utc
 from tollbridge.queries.requests import REQUESTS_SQL, page_requests
@@ -239,6 +240,25 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.withColumns(shown)
 
 
+@query("""
+    WITH o AS (SELECT c_custkey, c_name AS name FROM customer WHERE c_custkey % 997 <> 1),
+    n AS (SELECT c_custkey, CASE WHEN c_custkey % 991 = 2 THEN NULL ELSE c_name END AS name FROM customer WHERE c_custkey % 983 <> 3),
+    pairs AS (SELECT CASE WHEN o.c_custkey IS NULL THEN 'added' WHEN n.c_custkey IS NULL THEN 'removed'
+                         WHEN o.name IS NOT DISTINCT FROM n.name THEN 'same' ELSE 'changed' END AS change
+             FROM o FULL JOIN n ON o.c_custkey = n.c_custkey)
+    SELECT change, count(*) AS n FROM pairs GROUP BY change
+""")
+def snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stored snapshots with few differences: most buckets are only counted."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"))
+    old, new = customers.filter("c_custkey % 997 <> 1"), customers.filter("c_custkey % 983 <> 3")
+    new = new.withColumn("name", F.when(F.col("c_custkey") % 991 != 2, F.col("name")))
+    paths = fresh_folder(spark, "snapshot-old"), fresh_folder(spark, "snapshot-new")
+    for rows, path in zip((old, new), paths):
+        write_snapshot(rows, path, ["c_custkey"], buckets=64)
+    return change_counts(spark, *paths, ["c_custkey"])
+
+
 @query("""
     WITH subjects AS (SELECT o_orderkey, o_orderdate, o_orderstatus, o_custkey || '.' || o_orderpriority AS name FROM orders),
     fresh AS (SELECT name, min(o_orderkey) AS o_orderkey FROM subjects WHERE o_orderstatus = 'O' GROUP BY 1),

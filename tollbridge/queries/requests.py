@@ -307,3 +307,24 @@ def body_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     limits = spark.createDataFrame(LIMITS, "host string, max_body string")
     return flag_oversize(requests, limits, "4k").drop("host", "body_bytes")
+
+
+@query(f"""
+    WITH {REQUESTS_SQL},
+    hit AS (SELECT r.page_id, r.host, split_part(r.host, '.', 1) AS label FROM requests r)
+    SELECT page_id, CASE WHEN length(label) % 2 = 0 THEN 'wild-' || label WHEN label LIKE 'th%' THEN 'early' ELSE 'up-' || label END AS target
+    FROM hit
+""")
+def many_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern per first label of the pages' hosts: wildcards, and regexes that an early one may forestall."""
+    pages = table(spark, sf_dir, "pages")
+    label = F.substring_index("host", ".", 1)
+    labels = page_hosts(pages).select("port", label.alias("label")).distinct()
+    wild = F.length("label") % 2 == 0
+    own = labels.select(
+        "port", F.when(wild, F.concat("label", F.lit(".*"))).otherwise(F.concat(F.lit("^"), "label", F.lit("[.]"))).alias("host"),
+        F.when(wild, "wildcard").otherwise("regex").alias("host_kind"), F.lit("").alias("modifier"), F.lit("").alias("path"),
+        F.concat(F.when(wild, "wild-").otherwise("up-"), "label").alias("target"), F.lit(False).alias("internal"), F.lit(2).alias("rule_ord"),
+    )
+    early = spark.createDataFrame([(p, "^th", "regex", "", "", "early", False, 1) for p in (80, 443)], own.schema)
+    return route_requests(page_requests(pages), own.union(early)).select("page_id", "target")
