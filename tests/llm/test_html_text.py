@@ -45,6 +45,44 @@ def test_long_page():
     assert html_text.extract("<div>" * 200_000 + "deep, very deep." + "</div>" * 200_000) == "deep, very deep."
 
 
+@pytest.mark.parametrize("page, wanted", [
+    (f"<body><form><nav>{MENU}</nav><article>{BODY}</article></form></body>", TEXT),
+    (f"<body><form action=x>{MENU}<div>{BODY}</div></form></body>", TEXT),
+    (f"<body><div class='content-sidebar-wrap'><main>{BODY}</main><div class=sidebar><p>Side, text. A long one.</p></div></div></body>", TEXT),
+    (f"<body><div class='layout-sidebar-right'><div>{BODY}</div></div><div id=sidebar>{MENU}</div></body>", TEXT),
+    (f"<body><div class='social-science'>{BODY}</div>{MENU}</body>", TEXT),
+    (f"<article>{BODY}<p class='notice-board'>The board, as it was.</p></article>", TEXT + " The board, as it was."),
+    (f"<article>{BODY}{MENU}<p>The end, of it.</p></article>", TEXT + " The end, of it."),
+    (f"<article>{BODY}<ul><li>One point, plain.</li><li>Another.</li></ul></article>", TEXT + " One point, plain. Another."),
+    (f"<body><article><p>A teaser.</p></article><article><p>Another.</p></article><div id=story>{BODY}</div></body>", TEXT),
+    (f"<body><article>{BODY}</article><section class='comment-list'>{BODY * 30}</section></body>", TEXT),
+    (f"<body><article>{BODY}</article><div class=comments><article>{BODY * 3}</article><article>Me, too.</article></div></body>", TEXT),
+    ("<article>" + "<div>" * 2_000 + "<p>Deep, one.</p>" + "</div>" * 2_000 + "<p>Then, the next one.</p></article>", "Deep, one. Then, the next one."),
+    ("<p>One, two.</p><svg class=i/><p>Three, four.</p><svg><path d='x'/></svg><p>Five, six.</p>", "One, two. Three, four. Five, six."),
+    ("<p>One, two.</p><iframe src=x><p>Three, four.</p>", "One, two. Three, four."),
+])
+def test_scores_decide(page, wanted):
+    """What tags and names say yields to where the content is; lists of links in an article are none of it."""
+    assert html_text.extract(page) == wanted
+
+
+def test_flags_change_what_is_kept(monkeypatch):
+    page = f"<article>{BODY}{MENU}</article>"
+    assert html_text.extract(page) == TEXT
+    monkeypatch.setattr(html_text, "content_flags", lambda runs: [True] * len(runs))
+    assert html_text.extract(page) != TEXT
+
+
+def test_deep_pages_take_no_longer(monkeypatch):
+    """Many runs below many levels, and end tags that close nothing: work in proportion to the page."""
+    import time
+
+    page = "<div>" * 20_000 + "<p>A run, of text.</p></b></li></table>" * 20_000
+    started = time.process_time()
+    assert html_text.extract(page).count("A run, of text.") == 20_000
+    assert time.process_time() - started < 20
+
+
 def test_query_against_the_article_elements(spark):
     sf_dir = "/root/testdata/sf0.01"
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
