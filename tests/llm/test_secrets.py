@@ -56,6 +56,28 @@ def test_models_find_what_no_pattern_names(spark):
     assert sum(bool(own.model_spans(t, ratio)) for t in clean) <= 0.01 * len(clean)
 
 
+def test_runs_of_letters_and_short_runs(spark):
+    """Samples as they are drawn: no digit is asked for; the thresholds are set on held-out documents."""
+    rng = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = own.fit(docs)
+    assert len(model.thresholds) == own.KINDS and all(model.thresholds >= own.FLOOR)
+    for alphabet, size in ((string.ascii_letters, 32), (string.ascii_letters, 10), (string.ascii_letters + string.digits, 8), (string.hexdigits[:16], 16)):
+        found = [bool(own.model_spans(f"(see {''.join(rng.choices(alphabet, k=size))}, there)", model)) for _ in range(200)]
+        assert sum(found) >= 0.9 * len(found)
+    text = "plain words, then kW9xQz7LmP2v and more"
+    assert [text[a:b] for a, _, b, _ in own.model_spans(text, model)] == ["kW9xQz7LmP2v"]
+    assert own.model_spans("é" * 50 + " " + "12345678901234567890", model) == [] and own.model_spans("", model) == []
+
+
+def test_thresholds(spark):
+    """Few ordinary runs reach the threshold, and no more known values than allowed miss it."""
+    step = lambda score: int((score + own.LIMIT) / own.STEP)
+    rows = [(False, 0, step(-3.0), 10**6), (False, 0, step(4.0), 100), (False, 1, step(5.0), 10), (True, 1, step(3.0), 20), (True, 1, step(6.0), 80)]
+    got = own._thresholds(spark.createDataFrame(rows, "random boolean, kind bigint, step bigint, n bigint"))
+    assert abs(got[0] - 4.05) < 0.01 and abs(got[1] - 3.0) < 0.01 and set(got[2:]) == {own.FLOOR}
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (None, "AKIA" + "Q7" * 8), (1, None), (2, "")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS spans", "2 AS pair")

@@ -1,15 +1,17 @@
 """Secret scans: fixed patterns, and two character Markov models against each other.
 
 One model is of random strings, one of ordinary identifiers; each is a table of character pairs.
-A run of key characters is a secret if its log-likelihood ratio per character is above a threshold.
-Both are trained from samples that the fixed patterns label: the values they find are random strings,
-all other runs of the texts are ordinary. The pair counts are sums over all documents.
+A run of key characters is a secret if its log-likelihood ratio per character is above the threshold of
+its kind: of letters alone or with digits, and of its length. Both are trained from samples that the fixed
+patterns label: the values they find are random strings, all other runs of the texts are ordinary. The pair
+counts are sums over all documents but a fifth; the runs of that fifth set the thresholds.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,21 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 #: Characters of the models; all others end a run.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET)
-#: Runs that the models judge: long, with a digit and a letter.
-MIN_RUN = 16
+#: Runs that the models judge: of so many characters, a letter among them. Shorter ones say too little.
+MIN_RUN = 8
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
-#: Mean log-likelihood ratio per character pair from which a run is a secret.
-THRESHOLD = 2.0
+#: Lengths at which the kinds of runs part; each is a kind with digits and one without.
+BANDS = (12, 16, 24)
+KINDS = 2 * (len(BANDS) + 1)
+#: Ordinary runs of a kind that may be taken for random, of the fifth that is held out.
+FALSE_PART = 1e-5
+#: Mean log-likelihood ratio per character pair that a secret has at least.
+FLOOR = 2.0
+#: Part of the held-out random values of a kind that its threshold may miss, if there are so many of them.
+MISSED_PART, LEAST_VALUES = 0.1, 50
+#: Scores are counted in steps of this size between -LIMIT and LIMIT.
+STEP, LIMIT = 0.05, 20
 #: Pseudo-counts of each character's row, spread as the classes of characters follow each other.
 PRIOR = 20.0
 _CLASS = np.array([0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 3 for c in ALPHABET])
@@ -104,41 +115,106 @@ def _model(counts: np.ndarray) -> np.ndarray:
     return np.log(smooth / smooth.sum(axis=1, keepdims=True))
 
 
-def fit(docs: DataFrame) -> np.ndarray:
-    """The log-likelihood ratio of each character pair, random against ordinary, from all of ``docs`` (text).
+class Model(NamedTuple):
+    """The log-likelihood ratio of each character pair, random against ordinary; a threshold for each kind of run."""
 
-    The table has a fixed size. Without samples both models are alike and no run is a secret.
+    ratio: np.ndarray
+    thresholds: np.ndarray
+
+
+def _held_out() -> Column:
+    return F.crc32(F.coalesce("text", F.lit("")).cast("binary")) % 5 == 0
+
+
+def fit(docs: DataFrame) -> Model:
+    """The models and thresholds from all of ``docs`` (text).
+
+    The tables have a fixed size. Without samples both models are alike and no run is a secret.
     """
     tables = {flag: np.zeros((SIZE, SIZE)) for flag in (True, False)}
-    for flag, pair, n in count_pairs(docs).collect():  # at most two rows per pair of characters
+    for flag, pair, n in count_pairs(docs.where(~_held_out())).collect():  # at most two rows per pair of characters
         a, b = divmod(pair, SIZE + 1)
         if a < SIZE and b < SIZE:
             tables[flag][a, b] = n
     ratio = _model(tables[True]) - _model(tables[False])
     symbols = _CLASS == 3  # they join words and parts of keys alike
     ratio[symbols] = ratio[:, symbols] = 0.0
-    return ratio
+    return Model(ratio, _thresholds(count_scores(docs.where(_held_out()), ratio)))
 
 
-def model_spans(text: str, ratio: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, int, str]]:
-    """Runs that are likelier random than ordinary."""
-    spans = []
+def scored_runs(text: str, ratio: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """(start, end, kind, score) of each run that the models judge."""
+    codes = _codes(text)
+    whole = np.zeros((SIZE + 1, SIZE + 1))
+    whole[:SIZE, :SIZE] = ratio
+    before = np.concatenate([[0.0, 0.0], np.cumsum(whole[codes[:-1], codes[1:]])]) if len(codes) > 1 else np.zeros(2)
+    out = []
     for m in _RUN.finditer(text):
-        run = m.group()
-        codes = _codes(run)
-        if _DIGIT.search(run) and _LETTER.search(run) and ratio[codes[:-1], codes[1:]].mean() > threshold:
-            spans.append((m.start(), len(BASE_KINDS), m.end(), MODEL_KIND))
-    return spans
+        start, end = m.span()
+        if _LETTER.search(text, start, end):
+            kind = sum(end - start >= b for b in BANDS) * 2 + (_DIGIT.search(text, start, end) is not None)
+            out.append((start, end, kind, (before[end] - before[start + 1]) / (end - start - 1)))
+    return out
+
+
+def count_scores(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
+    """(random, kind, step, n): how many values and ordinary runs have a score of each step."""
+    sent, steps = docs.sparkSession.sparkContext.broadcast(ratio), int(2 * LIMIT / STEP) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, KINDS, steps), np.int64)
+        for batch in slices(batches):
+            for text in batch.column("text").to_pylist():
+                if not text:
+                    continue
+                base = base_spans(text)
+                own = [(False, r) for r in scored_runs(text, sent.value) if not any(b[0] < r[1] and r[0] < b[2] for b in base)]
+                own += [(True, r) for value in values(text) for r in scored_runs(value, sent.value)]
+                for random, (_, _, kind, score) in own:
+                    counts[int(random), kind, int((min(max(score, -LIMIT), LIMIT) + LIMIT) / STEP)] += 1
+        random, kind, step = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(random.astype(bool)), pa.array(kind), pa.array(step), pa.array(counts[random, kind, step])], names=["random", "kind", "step", "n"]
+        )
+
+    counted = docs.select("text").mapInArrow(run, "random boolean, kind bigint, step bigint, n bigint")
+    return counted.groupBy("random", "kind", "step").agg(F.sum("n").alias("n"))
+
+
+def _thresholds(scores: DataFrame) -> np.ndarray:
+    """The least score above FLOOR that few enough ordinary runs of the kind reach, or, where that would miss
+    too many known values of the kind, the score that misses as many as allowed."""
+    steps = int(2 * LIMIT / STEP) + 1
+    counts = np.zeros((2, KINDS, steps))
+    for random, kind, step, n in scores.collect():  # at most a row per kind and step
+        counts[int(random), kind, step] = n
+    out = np.full(KINDS, FLOOR)
+    for kind in range(KINDS):
+        at_least = np.append(np.cumsum(counts[0, kind][::-1])[::-1], 0)
+        fits = int(np.argmax(at_least <= FALSE_PART * at_least[0])) * STEP - LIMIT
+        known = np.cumsum(counts[1, kind])
+        if known[-1] >= LEAST_VALUES:
+            fits = min(fits, int(np.searchsorted(known, MISSED_PART * known[-1], "right")) * STEP - LIMIT)
+        out[kind] = max(FLOOR, fits)
+    return out
+
+
+def model_spans(text: str, model: Model) -> list[tuple[int, int, int, str]]:
+    """Runs that are likelier random than ordinary."""
+    return [
+        (start, len(BASE_KINDS), end, MODEL_KIND)
+        for start, end, kind, score in scored_runs(text, model.ratio) if score > model.thresholds[kind]
+    ]
 
 
-def find_secrets(docs: DataFrame, ratio: np.ndarray | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, spans) for every row of ``docs`` (doc_id, text), the model fitted on them if none is given.
 
     ``spans`` is an array of (kind, start, end) by start and kind, in code points, the end exclusive; the
     models' spans that a base span covers are left out. A null or empty text has none. Repeated rows
     come out each.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs) if ratio is None else ratio)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs) if model is None else model)
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def of(text: str) -> list[dict]:
