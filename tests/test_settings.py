@@ -149,6 +149,16 @@ def test_a_split_file_keeps_its_line_order(spark, setting, tmp_path):
     assert read.select(F.countDistinct("ord")).first()[0] == 1200
 
 
+def test_many_folders_are_read_through_one(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("tollbridge.sources.assignments.MAX_FOLDERS", 2)
+    for n in range(4):
+        (tmp_path / "a" / f"d{n}").mkdir(parents=True)
+        (tmp_path / "a" / f"d{n}" / "f.sh").write_text(f"export K={n}\n")
+    (tmp_path / "a" / "other.sh").write_text("export K=9\n")
+    layers = spark.createDataFrame([("e", n, str(tmp_path / "a" / f"d{n}" / "f.sh")) for n in range(4)], "env_id string, layer_ord int, path string")
+    assert [r["raw"] for r in read_assignments(spark, layers).orderBy("ord").collect()] == ["0", "1", "2", "3"]
+
+
 def test_layers_of_any_number(spark, tmp_path):
     """Numbers past 19 and 31 bits, negative ones, and two files of one layer."""
     numbers = [-5, 0, 524_287, 524_288, 1 << 31, 1 << 60]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tollbridge.operators.attach import fits_broadcast
@@ -12,6 +14,10 @@ DOUBLE_QUOTED = r'^\s*"((?:[^"\\]|\\.)*)"\s*(?:#.*)?$'
 SINGLE_QUOTED = r"^\s*'([^']*)'\s*(?:#.*)?$"
 COMMENT_TAIL = r"(?:^|\s+)#.*$|\s+$"
 
+# Folders that are listed one by one; more are read through the folder above them.
+MAX_FOLDERS = 1_000
+
+
 def read_assignments(spark: SparkSession, layers: DataFrame, root: str | None = None) -> DataFrame:
     """assignments(env_id, ord, key, raw, quote) of the files in layers(env_id, layer_ord, path).
 
@@ -49,8 +55,14 @@ def _with_starts(layers: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _folders(layers: DataFrame) -> list[str]:
-    """The folders of the files; other files in them fall away in the join."""
-    return [r[0] for r in layers.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1)).distinct().collect()]
+    """The folders of the files, or if they are very many the one folder that holds them all; other files
+    in them fall away in the join."""
+    folders = layers.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).distinct()
+    few = [r["folder"] for r in folders.limit(MAX_FOLDERS + 1).collect()]
+    if len(few) <= MAX_FOLDERS:
+        return few
+    # What the first and the last have in common, all have.
+    return [os.path.commonpath(folders.agg(F.min("folder"), F.max("folder")).first())]
 
 
 def read_setting_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
