@@ -56,3 +56,16 @@ def test_empty_repeated_and_extra_columns(spark):
     wide = df.selectExpr("*", "1 AS words", "2 AS of", "3 AS n_words")
     assert licenses.scan_licenses(wide.union(wide)).count() == 2 * len(TEXTS)
     assert licenses.scan_licenses(df.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text")).count() == len(TEXTS)
+
+
+def test_words_added_or_left_out(spark):
+    texts = {
+        "bsd": "Redistribution and use in source and binary forms, with or without any modification, are permitted provided that the following conditions are met: x",
+        "mit-text": "Permission is hereby granted, free of charge, to any person or body obtaining a copy of this software and associated documentation files (the X)",
+        "gpl,gpl-3.0": "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of it",
+        "": "forms of source and binary are following a general version of any person obtaining the conditions",
+    }
+    filler = "some other text stands here and says nothing at all " * 20
+    rows = [(n, filler + t + ". " + filler) for n, t in enumerate(texts.values())] + [(9, filler)] * 3
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[n] for n in range(4)] == list(texts) and got[9] == ""

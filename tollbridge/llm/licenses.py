@@ -1,10 +1,11 @@
 """Licence scans by a positional rare-token index, in DataFrame functions only.
 
-The words of all templates are counted over all documents. Each template's rarest words are its
-postings, (template, position). A text's hits on these words each say where the template would begin;
-hits that agree on one beginning make it a candidate, and the candidate counts if all mandatory
-phrases of the template stand in the text at their places. The index is as large as the templates,
-whatever the corpus, so that it goes into the plan as literals.
+The words of all templates are counted over all documents. The rarest words of each template's mandatory
+phrases are its postings, (template, position). A text's hits on these words each say where the template would begin;
+hits that agree on a beginning, but for some words, make it a candidate, and the candidate counts if all
+mandatory phrases of the template stand in the text in their order, each near its place: words may have
+been added or left out between them. The index is as large as the templates, whatever the corpus, so that
+it goes into the plan as literals.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ TEMPLATES = {
 #: Postings of a template, and how many must agree on a beginning.
 RARE_WORDS = 3
 AGREEING = 2
+#: Words by which beginnings may differ, and phrases be off their places.
+SLACK = 10
 
 
 def license_words(text: Column) -> Column:
@@ -60,15 +63,22 @@ def word_weights(words: DataFrame, vocabulary: list[str]) -> dict[str, float]:
 
 
 def rare_postings(weights: dict[str, float], templates: dict) -> dict[str, list[tuple[int, str, float]]]:
-    """The rarest words of each template with their positions; ties go to the first."""
+    """The rarest words of each template's mandatory phrases, which every match holds, with their positions;
+    ties go to the first."""
     postings = {}
-    for label, (notice, _) in templates.items():
+    for label, (notice, phrases) in templates.items():
         words = notice.split()
-        rarest = sorted(range(len(words)), key=lambda i: (-weights[words[i]], i))[:RARE_WORDS]
+        inside = {at + k for at, phrase in _spots(notice, phrases) for k in range(len(phrase))}
+        rarest = sorted(inside, key=lambda i: (-weights[words[i]], i))[:RARE_WORDS]
         postings[label] = [(i, words[i], weights[words[i]]) for i in sorted(rarest)]
     return postings
 
 
+def _spots(notice: str, phrases: tuple[str, ...]) -> list[tuple[int, list[str]]]:
+    """The words before each phrase of a notice, and its own."""
+    return [(len(notice[: f" {notice} ".index(f" {p} ")].split()), p.split()) for p in phrases]
+
+
 def _stands(words: Column, start: Column, phrase: list[str]) -> Column:
     same = F.lit(True)
     for k, word in enumerate(phrase):
@@ -103,31 +113,36 @@ def _matches(words: Column, postings: dict, templates: dict) -> Column:
         return of
 
     def of_sorted(found: Column) -> Column:
+        def near(x: Column, y: Column) -> Column:
+            return (y["label"] == x["label"]) & (x["delta"] - y["delta"] <= SLACK)
+
         def mates(x: Column, i: Column) -> Column:
-            """Hits before this one with the same template and beginning; a template has few."""
+            """Hits before this one with the same template and nearly the same beginning; a template has few."""
             own = F.lit(0)
             for back in range(1, RARE_WORDS):
-                y = F.get(found, i - back)
-                own = own + F.when((y["label"] == x["label"]) & (y["delta"] == x["delta"]), 1).otherwise(0)
+                own = own + F.when(near(x, F.get(found, i - back)), 1).otherwise(0)
             return own
 
         def coverage(x: Column, i: Column) -> Column:
             got, whole = x["weight"], F.lit(None).cast("double")
             for back in range(1, RARE_WORDS):
                 y = F.get(found, i - back)
-                got = got + F.when((y["label"] == x["label"]) & (y["delta"] == x["delta"]), y["weight"]).otherwise(0.0)
+                got = got + F.when(near(x, y), y["weight"]).otherwise(0.0)
             for label, own in postings.items():
                 whole = F.when(x["label"] == label, sum(weight for *_, weight in own)).otherwise(whole)
             return F.least(got / whole, F.lit(1.0))
 
+        def in_order(start: Column, after: Column, spots: list[tuple[int, list[str]]]) -> Column:
+            """Whether the phrases stand one after the other, each within the slack around its place."""
+            (spot, phrase), *rest = spots
+            near_by = F.transform(F.sequence(F.lit(-SLACK), F.lit(SLACK)), lambda d: start + spot + d)
+            at = F.array_min(F.filter(near_by, lambda i: (i > after) & _stands(words, i, phrase)))
+            return let(at, lambda p: p.isNotNull() & in_order(start, p + len(phrase) - 1, rest)) if rest else at.isNotNull()
+
         def verified(x: Column) -> Column:
             good = F.lit(False)
             for label, (notice, phrases) in templates.items():
-                spots = [(f" {notice} ".index(f" {p} "), p.split()) for p in phrases]
-                same = F.lit(True)
-                for spot, phrase in spots:
-                    same = same & _stands(words, x["delta"] + len(notice[:spot].split()), phrase)
-                good = F.when(x["label"] == label, same).otherwise(good)
+                good = F.when(x["label"] == label, in_order(x["delta"], F.lit(-1), _spots(notice, phrases))).otherwise(good)
             return good
 
         agreeing = F.transform(
