@@ -23,8 +23,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (0.8 of five-word shingles), the document with the smallest doc_id."""
-    return near_copies.drop_copies(docs)
+    """Of each group of near copies (0.8 of five-word shingles), the document with the smallest doc_id: linked by
+    SimHash fingerprints, each link compared in full, and copies that no fingerprint links by shared shingles."""
+    return near_copies.drop_copies(docs, radius=near_copies.RADIUS)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,9 +3,11 @@
 import itertools
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tests.llm.test_simhash import plain_components, plain_fingerprint
-from tollbridge.llm import near_copies
+from tollbridge.llm import near_copies, simhash
 
 
 def plain_set(text):
@@ -90,3 +92,42 @@ def test_many_copies_make_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "PIVOT_ROUNDS", 0)
     assert {r.doc_id: r.least for r in near_copies.group_copies(df).collect()} == wanted
     assert counted[-1] > 100 * len(texts)
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    """The stage links by SimHash fingerprints of five words; what they have linked meets no pivot any more."""
+    rng = random.Random(11)
+    texts = {}
+    for g in range(20):
+        base = [f"g{g}w{rng.randrange(10**6)}" for _ in range(300)]
+        texts |= {20 * k + g: " ".join(changed(base, rng, min(k, 1))) for k in range(4)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    asked, met = [], []
+    links, pairs = simhash.links, near_copies._pairs
+    monkeypatch.setattr(simhash, "links", lambda distinct, radius: asked.append((radius, distinct.count())) or links(distinct, radius))
+    monkeypatch.setattr(near_copies, "_pairs", lambda *given: met.append(pairs(*given).count()) or pairs(*given))
+    near = {(r.a, r.b) for r in simhash.near_links(df, near_copies.WIDTH, near_copies.RADIUS).collect()}
+    wanted = {i for i, w in plain_groups(texts).items() if w == i}
+    assert {r.doc_id for r in corpus_pipeline.without_near_copies(spark, df, "").collect()} == wanted == set(range(20))
+    assert asked[0] == asked[1] == (near_copies.RADIUS, len({simhash.fingerprint(t.encode(), 5) for t in texts.values()}))
+    assert len(near) > 30 and all(a % 20 == b % 20 for a, b in near)
+    assert sum(met) < 60 - 30  # without fingerprints each of the 60 copies meets a pivot
+
+
+def test_wrong_links_do_not_count(spark):
+    texts = {i: " ".join(f"t{i}w{k}" for k in range(50)) for i in range(4)} | {4: " ".join([*(f"t0w{k}" for k in range(50)), "more"])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    near = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 3), (0, 4), (2, 2)], "a bigint, b bigint")
+    for links in (near, near.limit(0), None):
+        assert [tuple(r) for r in near_copies.group_copies(df, near=links).collect()] == [(4, 0)]
+
+
+def test_counts_never_hide_a_pair():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 3, 4, 60, 900, 20_000):
+        x = np.unique(rng.integers(-(2**63), 2**63 - 1, size))
+        for n in (0, 1, size // 9, size):
+            y = np.unique(np.concatenate([x[n:], rng.integers(-(2**63), 2**63 - 1, n)]))
+            differ = len(np.setxor1d(x, y))
+            assert near_copies._differ(near_copies._counts(x), near_copies._counts(y)) <= differ
+    assert near_copies._differ(near_copies._counts(x), near_copies._counts(y)) > len(x) / 4  # unlike ones are told apart

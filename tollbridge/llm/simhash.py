@@ -173,6 +173,19 @@ def group_near(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, tile:
     )
 
 
+def near_links(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) between documents of ``docs`` (doc_id, text) that hold all groups within the radius together.
+
+    A document is linked to the least one of its own fingerprint, and that one to others. A null doc_id links nothing.
+    """
+    named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    own = cut_lineage(fingerprints(named, width), "simhash")
+    held = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    shared = cut_lineage(held.where("n > 1").select("fp", "rep"), "simhash-shared")
+    same = join_small(own, shared, "fp", "inner").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    return cut_lineage(links(held, radius).union(same).distinct(), "simhash-links")
+
+
 def drop_near(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group; rows of one doc_id are one document.
 
