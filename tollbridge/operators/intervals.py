@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tollbridge.operators.attach import attach, size_up
 from tollbridge.operators.ordered import assign_serials, last_before
@@ -12,6 +12,8 @@ from tollbridge.session import cut_lineage
 
 # A key's segments are looked through in its row up to this many; beyond, points and segments are sorted together.
 MAX_SEARCHED = 256
+# Entries of one block of a search tree: that many are looked through per level.
+BRANCHES = 64
 
 
 def disjoint_segments(intervals: DataFrame, keys: Sequence[str], rank: Sequence[str], value: str) -> DataFrame:
@@ -30,12 +32,11 @@ def disjoint_segments(intervals: DataFrame, keys: Sequence[str], rank: Sequence[
     ends = known.select(*keys, F.col("first").alias("start")).union(known.select(*keys, "last")).distinct()
     numbered = assign_serials(ends, [*keys, "start"], 0).select(*keys, "start", F.col("serial").alias("_n"))
     numbered = cut_lineage(numbered, "interval-ends")
-    levels = max(1, numbered.count().bit_length())
     low = numbered.select(*keys, F.col("start").alias("first"), F.col("_n").alias("_i"))
     high = numbered.select(*keys, F.col("start").alias("last"), F.col("_n").alias("_j"))
     placed = known.join(low, [*keys, "first"]).join(high, [*keys, "last"])
     best = F.struct(*rank, F.col(value).alias("_value"))
-    blocks = placed.select(best.alias("_best"), F.inline(_blocks(F.col("_i"), F.col("_j"), levels)))
+    blocks = placed.select(best.alias("_best"), F.inline(_blocks(F.col("_i"), F.col("_j"))))
     blocks = cut_lineage(blocks.groupBy("_level", "_block").agg(F.max("_best").alias("_best")), "interval-blocks")
     used = sorted(r[0] for r in blocks.select("_level").distinct().collect())  # one per power of two
     asked = numbered.select("_n", F.explode(F.array(*[F.lit(level) for level in used]) if used else F.array().cast("array<int>")).alias("_level"))
@@ -46,8 +47,11 @@ def disjoint_segments(intervals: DataFrame, keys: Sequence[str], rank: Sequence[
     return out.select(*keys, "start", "stop", F.col("_best._value").alias(value))
 
 
-def _blocks(i: Column, j: Column, levels: int) -> Column:
-    """The numbers from i to j - 1 as blocks (level, block): the numbers whose upper bits past ``level`` are ``block``."""
+def _blocks(i: Column, j: Column) -> Column:
+    """The numbers from i to j - 1 as blocks (level, block): the numbers whose upper bits past ``level`` are ``block``.
+
+    What is left is at most half as long after each level: there are as many as j - i has binary digits.
+    """
     kind = "array<struct<_level:int,_block:bigint>>"
 
     def step(s: Column, level: Column) -> Column:
@@ -61,21 +65,24 @@ def _blocks(i: Column, j: Column, levels: int) -> Column:
         )
 
     start = F.struct(i.cast("bigint").alias("i"), j.cast("bigint").alias("j"), F.array().cast(kind).alias("blocks"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, step, lambda s: s["blocks"])
+    return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(j - i)) - 1), start, step, lambda s: s["blocks"])
 
 
 def value_at(df: DataFrame, segments: DataFrame, keys: Sequence[str], at: str, value: str, name: str) -> DataFrame:
     """Add to each row the value of the segment of its keys that ``at``, an integer, is in; null where there is none.
 
-    While the segments are few, in all and per key, they are broadcast as one row per key and the rows are
-    not shuffled. Otherwise rows and segments are put into one sequence: one shuffle, by ranges where a key
-    has very many rows. Streams always take the former way, with the segments' rows shuffled if they are many.
+    While each key has few segments, they are one row per key, broadcast while they are few in all. A key
+    with more has them as a search tree while they are few in all: a block of entries per level is looked
+    through, and the rows are not shuffled. Otherwise rows and segments are put into one sequence: one
+    shuffle, by ranges where a key has very many rows. Streams always take the first way.
     """
     keys = list(keys)
     segments = cut_lineage(segments.select(*keys, "start", value), "segments")
     small = size_up(segments)[0]
     most = segments.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if df.isStreaming or (small and most <= MAX_SEARCHED):
+    if small and most > MAX_SEARCHED and not df.isStreaming:
+        return _search(df, segments, keys, at, value, name, most)
+    if df.isStreaming or most <= MAX_SEARCHED:
         part = F.struct("start", F.col(value).alias("_value"))
         grouped = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(part)).alias("_segments"))
         found = attach(df, cut_lineage(grouped, "segments"), keys)
@@ -85,3 +92,23 @@ def value_at(df: DataFrame, segments: DataFrame, keys: Sequence[str], at: str, v
     defs = segments.select(*keys, F.col("start").alias("_after"), F.col(value).alias("_value"))
     found = last_before(asked, defs, keys, "_after", "_segment", payload=["_value"])
     return found.select(*df.columns, F.col("_segment")["_value"].alias(name))
+
+
+def _search(df: DataFrame, segments: DataFrame, keys: list[str], at: str, value: str, name: str, most: int) -> DataFrame:
+    """``value_at`` by a search tree of each key's segments, one broadcast table per level."""
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("start", value)) - 1
+    entries, levels, left = segments.select(*keys, "start", F.col(value).alias("_value"), order.alias("_at")), [], most
+    while True:
+        part = F.struct("start", "_at", "_value") if not levels else F.struct("start", "_at")
+        blocks = entries.groupBy(*keys, F.floor(F.col("_at") / BRANCHES).alias("_block")).agg(F.array_sort(F.collect_list(part)).alias("_entries"))
+        levels.append(cut_lineage(blocks, "segments"))
+        if left <= BRANCHES:
+            break
+        left = -(-left // BRANCHES)
+        entries = levels[-1].select(*keys, F.col("_entries")[0]["start"].alias("start"), F.col("_block").alias("_at"))
+    found = df.withColumn("_block", F.lit(0).cast("bigint"))
+    for blocks in reversed(levels):
+        before = F.filter("_entries", lambda e: e["start"] <= F.col(at))
+        hit = attach(found, blocks, [*keys, "_block"], True).withColumn("_hit", F.try_element_at(before, F.lit(-1)))
+        found = hit.select(*df.columns, F.col("_hit._at").cast("bigint").alias("_block"), *([F.col("_hit._value").alias(name)] if blocks is levels[0] else []))
+    return found.select(*df.columns, name)
