@@ -108,7 +108,8 @@ def settings_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "events").select("event_type", "event_id", text.alias("value"))
     ordered = lines.repartitionByRange("event_type", "event_id").sortWithinPartitions("event_type", "event_id")
     ordered.select("event_type", "value").write.partitionBy("event_type").text(folder)
-    files = spark.read.option("recursiveFileLookup", "true").text(folder).select(F.col("_metadata.file_path").alias("path")).distinct()
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)  # the contents are not read
+    files = listed.select(F.col("_metadata.file_path").alias("path"))
     kind = F.dense_rank().over(Window.orderBy("_type"))
     types = files.select(F.regexp_extract("path", "event_type=([^/]*)/", 1).alias("_type"), "path")
     kinds = types.select("_type").distinct().select("_type", kind.alias("kind"))
