@@ -470,3 +470,15 @@ def test_blocks_of_sorted_paths(spark, joins, monkeypatch):
     requests = spark.createDataFrame(cases, "req_id bigint, port int, host string, uri string")
     got = {r["req_id"]: r["target"] for r in route_requests(requests, spark.createDataFrame(routes, ROUTES)).collect()}
     assert got == {c[0]: route_by_hand(routes, *c[1:]) if c[3] is not None else None for c in cases}
+
+
+def test_value_at_searches_many_segments_without_a_shuffle_of_the_rows(spark):
+    starts = {"a": range(0, 30_000, 3), None: [4], "b": range(-5, 300)}
+    segments = [(k, s, None if s % 7 == 0 else s * 2) for k, own in starts.items() for s in own]
+    asked = [(k, at) for k in ("a", "b", "c", None) for at in (-9, -5, 0, 1, 2, 3, 192, 193, 12_289, 29_997, 99_999, None)]
+    rows = spark.createDataFrame(asked, "k string, at bigint")
+    found = value_at(rows, spark.createDataFrame(segments, "k string, start bigint, v bigint"), ["k"], "at", "v", "w")
+    plain = {(k, at): max([(s, v) for o, s, v in segments if o == k and s <= at], default=(0, None))[1] if k and at is not None else None for k, at in asked}
+    assert {(r.k, r.at): r.w for r in found.collect()} == plain
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text and "Sort" not in text
