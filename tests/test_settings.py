@@ -222,3 +222,11 @@ def test_an_environment_may_be_null(spark, setting, wide):
     }
     with pytest.raises(ValueError, match="no ord"):
         resolve_refs(spark.createDataFrame([*lines, ("e", None, "Q", "1")], SCHEMA))
+
+
+def test_loading_reads_the_files_once(spark, tmp_path):
+    (tmp_path / "one.env").write_text("A=x\nB=${A}y\nC=${B}${A}z\n")
+    layers = spark.createDataFrame([("e", 1, str(tmp_path / "one.env"))], "env_id string, layer_ord int, path string")
+    loaded = load_settings(spark, layers, {}, str(tmp_path))
+    assert {r["key"]: r["value"] for r in loaded.collect()} == {"A": "x", "B": "xy", "C": "xyxz"}
+    assert "FileScan text" not in loaded._jdf.queryExecution().executedPlan().toString()
