@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -70,3 +71,16 @@ def test_rows_of_any_kind(spark):
     got = sorted(((r.doc_id, r.ids, r.decoded) for r in bpe.encode_texts(df, PATH).collect()), key=str)
     assert got == sorted([(1, [], ""), (1, [], ""), (2, [], ""), (None, LIBRARY.encode("a b").ids, "a b")], key=str)
     assert bpe.encode_texts(df.limit(0), PATH).count() == 0
+
+
+def test_nothing_of_the_texts_stays_after_the_task(spark):
+    def kept(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([sum(map(len, (b.known, b.pairs, b.cache.young, b.cache.old))) for b in bpe._loaded.values()], pa.int64())], names=["n"]
+            )
+
+    docs = spark.createDataFrame([(i, f"some words of document {i}, and numbers {i * 7919}") for i in range(40)], "doc_id bigint, text string").coalesce(1)
+    assert {r.doc_id: list(r.ids) for r in bpe.encode_texts(docs, PATH).collect()} == {r.doc_id: LIBRARY.encode(r.text).ids for r in docs.collect()}
+    left = [r.n for _ in range(8) for r in docs.limit(1).mapInArrow(kept, "n bigint").collect()]  # by the same workers
+    assert left and not any(left)

@@ -18,6 +18,7 @@ import hashlib
 import json
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import ahocorasick
 import pyarrow as pa
@@ -69,8 +70,8 @@ class PrefixBpe:
         for token in sorted(vocab.values(), key=lambda t: self.rank.get(parts.get(t), -1)):
             a_b = parts.get(token)
             r = self.rank.get(a_b, NEVER)
-            self.right[token] = [(token, NEVER)] + ([(x, r if x == a_b[1] else up) for x, up in self.right[a_b[1]]] if a_b else [])
-            self.left[token] = [(token, NEVER)] + ([(x, r if x == a_b[0] else up) for x, up in self.left[a_b[0]]] if a_b else [])
+            self.right[token] = [(token, NEVER)] + ([(a_b[1], r), *self.right[a_b[1]][1:]] if a_b else [])
+            self.left[token] = [(token, NEVER)] + ([(a_b[0], r), *self.left[a_b[0]][1:]] if a_b else [])
         self.automaton = ahocorasick.Automaton()
         usable = set()
         for token in sorted(vocab.values(), key=lambda t: self.rank.get(parts.get(t), -1)):
@@ -141,6 +142,11 @@ class PrefixBpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.cache.texts(texts)
 
+    def forget(self) -> None:
+        """Drop what is kept of the texts; the tokenizer's own tables stay."""
+        self.pairs, self.known = {}, {}
+        self.cache.clear()
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
 
@@ -156,6 +162,17 @@ def load(tokenizer_json: str) -> PrefixBpe:
     return _loaded[tokenizer_json]
 
 
+@contextmanager
+def loaded(tokenizer_json: str) -> Iterator[PrefixBpe]:
+    """The tokenizer for one task. What it keeps of the texts ends with the task: the Python worker goes on
+    to other stages, beside which it would stay in memory."""
+    bpe = load(tokenizer_json)
+    try:
+        yield bpe
+    finally:
+        bpe.forget()
+
+
 def read_file(path: str) -> str:
     with open(path, encoding="utf-8") as file:
         return file.read()
@@ -170,14 +187,14 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(read_file(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(sent.value)
-        for batch in slices(batches):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in bpe.encode(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.string())],
-                names=["doc_id", "ids", "decoded"],
-            )
+        with loaded(sent.value) as bpe:
+            for batch in slices(batches):
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                ids = [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in bpe.encode(texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.string())],
+                    names=["doc_id", "ids", "decoded"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")

@@ -36,11 +36,14 @@ class UnitCache:
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], specials: dict[str, bytes], limit: int = CACHED_UNITS):
         self.encode, self.specials, self.limit = encode, specials, limit
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.clear()
         longest_first = sorted(specials, key=len, reverse=True)
         self.split_specials = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if specials else None
 
+    def clear(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each, little-endian."""
         parts, flat = [], []
