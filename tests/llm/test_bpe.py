@@ -84,3 +84,13 @@ def test_nothing_of_the_texts_stays_after_the_task(spark):
     assert {r.doc_id: list(r.ids) for r in bpe.encode_texts(docs, PATH).collect()} == {r.doc_id: LIBRARY.encode(r.text).ids for r in docs.collect()}
     left = [r.n for _ in range(8) for r in docs.limit(1).mapInArrow(kept, "n bigint").collect()]  # by the same workers
     assert left and not any(left)
+
+
+def test_a_task_keeps_few_units(monkeypatch):
+    monkeypatch.setattr(bpe, "TASK_UNITS", 50)
+    texts = [f"text {i} of {i * 7919} strange{i} words" for i in range(400)]
+    with bpe.loaded(bpe.read_file(PATH)) as own:
+        for text in texts:
+            assert list(own.cache.texts([text])[0]) == list(b"".join(i.to_bytes(4, "little") for i in LIBRARY.encode(text).ids))
+            assert len(own.known) + len(own.pairs) + len(own.cache.young) + len(own.cache.old) < 4 * 50
+    assert own.cache.limit > 50 and not own.known

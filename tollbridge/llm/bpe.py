@@ -37,6 +37,8 @@ NEVER = 1 << 60
 #: Pretokens and pairs kept per Python worker.
 CACHED_PRETOKENS = 400_000
 CACHED_PAIRS = 1_000_000
+#: Units, and pretokens and pairs, kept where the encoder is one stage of several in the same Python workers.
+TASK_UNITS = 100_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -97,7 +99,7 @@ class PrefixBpe:
     def compatible(self, a: int, b: int) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > CACHED_PAIRS:
+            if len(self.pairs) > min(CACHED_PAIRS, self.cache.limit):
                 self.pairs.clear()
             known = self.pairs[a, b] = not self._merges_across(a, b)
         return known
@@ -125,7 +127,7 @@ class PrefixBpe:
         return ids[::-1]
 
     def units(self, units: list[str]) -> list[bytes]:
-        if len(self.known) > CACHED_PRETOKENS:
+        if len(self.known) > min(CACHED_PRETOKENS, self.cache.limit):
             self.known.clear()
         known, out = self.known, []
         for unit in units:
@@ -164,12 +166,14 @@ def load(tokenizer_json: str) -> PrefixBpe:
 
 @contextmanager
 def loaded(tokenizer_json: str) -> Iterator[PrefixBpe]:
-    """The tokenizer for one task. What it keeps of the texts ends with the task: the Python worker goes on
-    to other stages, beside which it would stay in memory."""
+    """The tokenizer for one task. What it keeps of the texts is little and ends with the task: the Python
+    worker goes on to other stages, beside which it would stay in memory."""
     bpe = load(tokenizer_json)
+    usual, bpe.cache.limit = bpe.cache.limit, min(bpe.cache.limit, TASK_UNITS)
     try:
         yield bpe
     finally:
+        bpe.cache.limit = usual
         bpe.forget()
 
 
